@@ -26,61 +26,102 @@ from arkivist.llm import textvec as tv
 from arkivist.llm.base import session, written
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_500_000
+LEARN_AT_ONCE = 2048
+#: Slices with longer words than this are tokenised text by text.
+MOST_WORD_BYTES = 20_000
 SALTS = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _merge(a, b):
+    """Two sorted parts as one."""
+    to = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+    old = np.ones(len(a[0]) + len(b[0]), bool)
+    old[to] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        z = np.empty(len(old), x.dtype)
+        z[old], z[to] = x, y
+        out.append(z)
+    return tuple(out)
+
+
 class WordIds:
-    """Token ids of words, found by 64-bit hashes of their bytes."""
+    """Token ids of words, found by 64-bit hashes of their bytes.
+
+    Hashes are kept sorted in two parts: most of them, and those learned lately, which are
+    merged in when they have become a quarter.
+    """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self._clear()
 
     def _clear(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint16))
+        self.parts = [none, none]  # (hashes, where the ids begin, how many)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def known(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(words) > CACHE_WORDS:
-            self._clear()
-        ids = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.len = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.len, size])[order]
+        """hashes: sorted and new."""
+        at, size = [], []
+        for i in range(0, len(words), LEARN_AT_ONCE):
+            for e in self.tok.encode_batch_fast(words[i : i + LEARN_AT_ONCE], add_special_tokens=False):
+                ids = e.ids
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), np.uint32)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                at.append(self.used)
+                size.append(len(ids))
+                self.used += len(ids)
+        self.parts[1] = _merge(self.parts[1], (hashes, np.array(at, np.int32), np.array(size, np.uint16)))
+        if 4 * len(self.parts[1][0]) > len(self.parts[0][0]):
+            self.parts = [_merge(*self.parts), tuple(x[:0] for x in self.parts[1])]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, at, size = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for keys, begin, count in self.parts:
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == hashes)
+                known[hit], at[hit], size[hit] = True, begin[place[hit]], count[place[hit]]
+        return known, at, size
 
     def ids(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words of a slice in order, and their bounds by row."""
         if not len(w.hash):
             return np.zeros(0, np.uint32), np.zeros(len(w.row), np.int64)
+        if int((w.end - w.start).max()) > MOST_WORD_BYTES:
+            return self._plain(w)
         uniq, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == uniq[inside]
+        known, at, size = self._find(uniq)
         if not known.all():
-            raw, kept = w.buf.tobytes(), len(self.keys)
             new = np.flatnonzero(~known)
-            words = [raw[a:b].decode("utf-8") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)]
-            self._learn(uniq[new], words)
-            if len(self.keys) != kept + len(new):  # forgotten meanwhile
-                return self.ids(w) if len(uniq) <= CACHE_WORDS else self._plain(w)
-            place = np.searchsorted(self.keys, uniq)
-        at, size = self.at[place][back], self.len[place][back]
+            if self.known() + len(new) > CACHE_WORDS:
+                self._clear()
+                new = np.arange(len(uniq))
+                if len(new) > CACHE_WORDS:
+                    return self._plain(w)
+            raw = w.buf.tobytes()
+            self._learn(uniq[new], [raw[a:b].decode("utf-8") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+            _, at, size = self._find(uniq)
+        at, size = at[back], size[back]
         bound = np.concatenate([[0], np.cumsum(size)])
         out = self.flat[np.arange(bound[-1]) - np.repeat(bound[:-1] - at, size)]
         return out, bound[w.row]
 
     def _plain(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Without memory, for a slice with more words than it may hold."""
+        """Without memory, for a slice with more or longer words than it may hold."""
         raw = w.buf.tobytes()
         rows = [self.tok.encode(raw[a:b].decode("utf-8"), add_special_tokens=False).ids for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
         bound = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
