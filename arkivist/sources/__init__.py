@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arkivist.sources.fswalk import WalkSource
 from arkivist.sources.jsonl import read_jsonl, sniff
-from arkivist.sources.sqlite_catalog import CatalogSource
+from arkivist.sources.sqlite_catalog import CatalogSource, SqliteCatalog
 from arkivist.sources.store import CatalogStore
 
 
@@ -27,3 +27,10 @@ def read_catalog(spark: SparkSession, path: str, lenient: bool = False) -> DataF
     if kind == "store":
         return CatalogStore(spark, path).rows()
     return spark.read.parquet(path)
+
+
+def open_catalog(spark: SparkSession, path: str) -> CatalogStore | SqliteCatalog:
+    """A catalog by its path: SQLite files by their suffix or content, anything else a store."""
+    if path.lower().endswith((".sqlite", ".db")) or (SqliteCatalog(spark, path).exists() and sniff(spark, path) == "sqlite"):
+        return SqliteCatalog(spark, path)
+    return CatalogStore(spark, path)

@@ -10,10 +10,12 @@ import os
 import sqlite3
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from arkivist.schema import CATALOG_COLUMNS, SCHEMA_VERSION
+from arkivist.operators.common import catalog_rows, empty
+from arkivist.schema import CATALOG, CATALOG_COLUMNS, SCHEMA_VERSION
+from arkivist.sources.jsonl import write_jsonl
 
 ROWS_AT_ONCE = 250_000
 SCHEMA = "file_id long, hostname string, mount_point string, mtime long, os string, path string, path_norm string, scanned_at long, sha512 string, size long, volume string, by_volume boolean, row_no long"
@@ -62,17 +64,19 @@ class CatalogReader(DataSourceReader):
         con = connect(self.path)
         low, high = con.execute("SELECT min(file_id), max(file_id) FROM files").fetchone()
         con.close()
-        return [] if low is None else [Span(a, min(a + ROWS_AT_ONCE, high + 1)) for a in range(low, high + 1, ROWS_AT_ONCE)]
+        return [Span(0, 0)] if low is None else [Span(a, min(a + ROWS_AT_ONCE, high + 1)) for a in range(low, high + 1, ROWS_AT_ONCE)]
 
     def read(self, partition: Span):
         con = connect(self.path)
         con.text_factory = lambda b: b.decode("utf-8", "replace")
         try:
-            yield from con.execute(
-                "SELECT f.file_id, v.hostname, v.mount_point, f.mtime, v.os, f.path, f.path_norm, f.scanned_at, nullif(f.sha512, ''), f.size, v.volume, 1, f.file_id "
+            found = con.execute(
+                "SELECT f.file_id, v.hostname, v.mount_point, f.mtime, v.os, f.path, f.path_norm, f.scanned_at, nullif(f.sha512, ''), f.size, v.volume, f.file_id "
                 "FROM files f JOIN volumes v USING (volume_id) WHERE f.file_id >= ? AND f.file_id < ?",
                 (partition.low, partition.high),
             )
+            for *facts, row_no in found:
+                yield (*facts, True, row_no)
         finally:
             con.close()
 
@@ -89,25 +93,86 @@ class CatalogSource(DataSource):
         return CatalogReader(self.options)
 
 
-def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: int | None = None) -> int:
-    """A catalog as a new SQLite file on the driver; an existing file is refused.  Rows are streamed in order.  Returns their number."""
+def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: int | None = None, volumes: list[dict] | None = None) -> int:
+    """A catalog as a new SQLite file on the driver; an existing file is refused.  Rows are
+    streamed in order: one file has one writer.  Returns their number."""
     if os.path.exists(path):
         raise FileExistsError(f"refusing to overwrite {path}")
     now = int(time.time()) if now is None else now
     con = sqlite3.connect(path)
+    ids: dict[tuple, int] = {}
+
+    def volume(hostname, name, mount_point, system, scanned_at) -> int:
+        key = (hostname, name)
+        if key not in ids:
+            ids[key] = con.execute("INSERT INTO volumes (hostname, volume, mount_point, os, scanned_at) VALUES (?, ?, ?, ?, ?)", (*key, mount_point, system, scanned_at)).lastrowid
+        return ids[key]
+
+    n = 0
     with con:
         for statement in DDL:
             con.execute(statement)
         con.executemany("INSERT INTO meta VALUES (?, ?)", [("schema_version", str(SCHEMA_VERSION)), ("created_at", str(now)), *([("dataset_name", dataset)] if dataset else [])])
-        ids: dict[tuple, int] = {}
-        n = 0
-        ordered = rows.select(*CATALOG_COLUMNS).orderBy("hostname", "volume", "path_norm")
-        for r in ordered.toLocalIterator(prefetchPartitions=True):  # one file, one writer: the format allows no more
-            key = (r.hostname, r.volume)
-            if key not in ids:
-                ids[key] = con.execute("INSERT INTO volumes (hostname, volume, mount_point, os, scanned_at) VALUES (?, ?, ?, ?, ?)", (*key, r.mount_point, r.os, now)).lastrowid
-            con.execute("INSERT INTO files (volume_id, path, path_norm, size, mtime, sha512, scanned_at) VALUES (?, ?, ?, ?, ?, ?, ?)", (ids[key], r.path, r.path_norm, r.size, r.mtime, r.sha512, r.scanned_at))
+        for v in volumes or ():
+            volume(v["hostname"], v["volume"], v["mount_point"], v["os"], v["scanned_at"])
+        for r in rows.select(*CATALOG_COLUMNS).orderBy("hostname", "volume", "path_norm").toLocalIterator(prefetchPartitions=True):
+            number = volume(r.hostname, r.volume, r.mount_point, r.os, now)
+            con.execute("INSERT INTO files (volume_id, path, path_norm, size, mtime, sha512, scanned_at) VALUES (?, ?, ?, ?, ?, ?, ?)", (number, r.path, r.path_norm, r.size, r.mtime, r.sha512, r.scanned_at))
             n += 1
     con.close()
     return n
 
+
+class SqliteCatalog:
+    """A catalog file with the interface of a CatalogStore; a commit writes a new file and swaps it in."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        return os.path.exists(self.path)
+
+    def facts(self) -> dict:
+        meta = read_meta(self.path)
+        return {"schema_version": int(meta["schema_version"]), "dataset_name": meta.get("dataset_name"), "created_at": int(meta.get("created_at") or 0)}
+
+    def create(self, dataset: str | None = None, now: int | None = None) -> SqliteCatalog:
+        write_catalog(empty(self.spark, CATALOG), self.path, dataset, now)
+        return self
+
+    def open_or_create(self, dataset: str | None = None, now: int | None = None) -> SqliteCatalog:
+        if not self.exists():
+            return self.create(dataset, now)
+        self.facts()
+        return self
+
+    def rows(self) -> DataFrame:
+        self.spark.dataSource.register(CatalogSource)
+        return catalog_rows(self.spark.read.format("sqlite_catalog").load(self.path))
+
+    def volumes(self) -> list[dict]:
+        con = connect(self.path)
+        names = ("hostname", "volume", "mount_point", "os", "scanned_at")
+        found = [dict(zip(names, r, strict=True)) for r in con.execute("SELECT hostname, volume, mount_point, os, scanned_at FROM volumes ORDER BY hostname, volume")]
+        con.close()
+        return found
+
+    def upsert_volume(self, hostname: str, volume: str, mount_point: str | None, system: str | None, now: int) -> None:
+        con = sqlite3.connect(self.path)
+        with con:
+            con.execute(
+                "INSERT INTO volumes (hostname, volume, mount_point, os, scanned_at) VALUES (?, ?, ?, ?, ?) "
+                "ON CONFLICT (hostname, volume) DO UPDATE SET mount_point = excluded.mount_point, os = excluded.os, scanned_at = excluded.scanned_at",
+                (hostname, volume, mount_point, system, now),
+            )
+        con.close()
+
+    def log(self, rows: DataFrame, hashlog: str | None = None) -> None:
+        write_jsonl(catalog_rows(rows), hashlog or f"{self.path}.hashlog.jsonl", mode="append")
+
+    def commit(self, rows: DataFrame, volumes: list[dict] | None = None) -> None:
+        facts, new = self.facts(), f"{self.path}.new"
+        if os.path.exists(new):
+            os.remove(new)
+        write_catalog(rows, new, facts["dataset_name"], facts["created_at"], self.volumes() if volumes is None else volumes)
+        os.replace(new, self.path)
