@@ -110,7 +110,7 @@ def repeated(docs: DataFrame, window: int) -> DataFrame:
     met = e.join(nodes, "node")
     removed = ~F.col("branches") & ((F.col("doc_id") != F.col("doc0")) | F.col("again"))
     met = met.filter(F.col("branches") | removed)
-    return met.select("doc_id", "tid", pack(F.col("a"), F.col("n") * 2 + removed.cast("int")).alias("m")).groupBy("doc_id", "tid").agg(F.collect_list("m").alias("marks"))
+    return met.select("doc_id", "tid", pack(F.col("a"), F.col("n") * 2 + removed.cast("int")).alias("m")).groupBy("doc_id", "tid").agg(F.collect_set("m").alias("marks"))
 
 
 def windows(joined: DataFrame, window: int) -> DataFrame:
