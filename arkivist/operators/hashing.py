@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkivist.ship import ship
+
 CHUNK = 1 << 20
 
 
@@ -36,6 +38,7 @@ def hash_files(rows: DataFrame, bits: int = 512, root: str | None = None) -> Dat
     The files are read where the tasks run: rows should be those of this host.  root, if
     given, stands for the mount point.
     """
+    ship(rows.sparkSession)
     columns = [c for c in rows.columns if c not in ("sha512", "hash_status")]
     here = rows.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in here.schema) + ", sha512 string, hash_status string"

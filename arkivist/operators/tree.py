@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from arkivist.functions.paths import ancestors, basename, depth, key_str, order_key, parent, parts
 from arkivist.operators.collisions import size_histogram
 from arkivist.operators.common import redealt, written
+from arkivist.ship import ship
 
 VOLUME = ["hostname", "volume"]
 #: Directories with more direct children than this are signed in a stream of sorted children.
@@ -50,6 +51,7 @@ def _sign_arrays(children: DataFrame, bits: int) -> DataFrame:
 
 def _sign_streams(children: DataFrame, bits: int) -> DataFrame:
     """The same for directories of any size: children sorted in their partition, hashed one by one."""
+    ship(children.sparkSession)
     keys = [*VOLUME, "parent"]
     dealt = children.select(*keys, "name", "is_dir", "sig", "path").repartition(*keys).sortWithinPartitions(*keys, "name", "is_dir", "sig", "path")
 

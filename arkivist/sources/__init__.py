@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arkivist.ship import ship
 from arkivist.sources.fswalk import WalkSource
 from arkivist.sources.jsonl import read_jsonl, sniff
 from arkivist.sources.sqlite_catalog import CatalogSource, SqliteCatalog
@@ -12,6 +13,7 @@ from arkivist.sources.store import CatalogStore
 
 def register(spark: SparkSession) -> None:
     """Makes the fswalk and sqlite_catalog formats known to the session."""
+    ship(spark)
     spark.dataSource.register(WalkSource)
     spark.dataSource.register(CatalogSource)
 

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from arkivist.operators.common import catalog_rows, empty
 from arkivist.schema import CATALOG, CATALOG_COLUMNS, SCHEMA_VERSION
+from arkivist.ship import ship
 from arkivist.sources.jsonl import write_jsonl
 
 ROWS_AT_ONCE = 250_000
@@ -147,6 +148,7 @@ class SqliteCatalog:
         return self
 
     def rows(self) -> DataFrame:
+        ship(self.spark)
         self.spark.dataSource.register(CatalogSource)
         return catalog_rows(self.spark.read.format("sqlite_catalog").load(self.path))
 

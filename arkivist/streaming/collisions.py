@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from arkivist.ship import ship
+
 STATE = "seen long, held string"
 
 
 def collisions(stream: DataFrame, output: str = "hostname string, volume string, path_norm string, size long") -> DataFrame:
     """A stream's rows whose size occurs again.  The state is a count and one held row for
     each size, and is never dropped: any later file may collide."""
+    ship(stream.sparkSession)
     columns = [c.split()[0] for c in output.split(", ")]
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
