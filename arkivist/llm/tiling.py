@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session
+from arkivist.llm.base import session, texts_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -104,6 +104,31 @@ def tiles(found: list[tuple[int, int, int]], least: int) -> list[tuple[int, int,
     return out
 
 
+def leaks(texts: pa.Array, seeds: Seeds, coverage: float) -> list[tuple]:
+    """(row, item id, words of the item, matched, number of tiles, coverage, tiles) of all leaks into the texts."""
+    w = tv.Words(texts, tv.NOT_ALNUM, lower=True)
+    met = seeds.meet(w)
+    if met is None:
+        return []
+    row, item, d, i, size = met
+    order = np.lexsort((item, row))
+    row, item, d, i, size = (c[order] for c in (row, item, d, i, size))
+    cut = np.ones(len(row), bool)
+    cut[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    bound = np.append(np.flatnonzero(cut), len(row))
+    out = []
+    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        n, k = int(seeds.words[item[a]]), int(size[a])
+        reach = np.unique((np.unique(i[a:b])[:, None] + np.arange(k)).ravel())
+        if len(reach) < coverage * n:  # no tiling covers more than the seeds touch
+            continue
+        t = tiles(matches(d[a:b], i[a:b], k), k)
+        got = sum(x[2] for x in t)
+        if got >= coverage * n:
+            out.append((int(row[a]), seeds.ids[item[a]], n, got, len(t), got / n, [{"item": x, "doc": y, "words": z} for x, y, z in sorted(t)]))
+    return out
+
+
 OUT = "doc_id long, item_id long, item_words long, matched long, n_tiles long, coverage double, tiles array<struct<item: long, doc: long, words: long>>"
 
 
@@ -129,35 +154,14 @@ def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cove
     tables give no rows.
     """
     spark = session(docs)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = texts_of(docs)
     out = None
     for ids, texts in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(Seeds(ids, texts, min_match))  # BLOCK_BYTES of text
 
         def find(batches, shared=shared):
-            seeds = shared.value
             for part in tv.slices(batches):
-                w = tv.Words(part.column(1), tv.NOT_ALNUM, lower=True)
-                met = seeds.meet(w)
-                if met is None:
-                    continue
-                row, item, d, i, size = met
-                order = np.lexsort((item, row))
-                row, item, d, i, size = (c[order] for c in (row, item, d, i, size))
-                cut = np.ones(len(row), bool)
-                cut[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-                bound = np.append(np.flatnonzero(cut), len(row))
-                out = []
-                for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-                    n = int(seeds.words[item[a]])
-                    k = int(size[a])
-                    reach = np.unique((np.unique(i[a:b])[:, None] + np.arange(k)).ravel())
-                    if len(reach) < coverage * n:  # no tiling covers more than the seeds touch
-                        continue
-                    t = tiles(matches(d[a:b], i[a:b], k), k)
-                    got = sum(x[2] for x in t)
-                    if got >= coverage * n:
-                        out.append((row[a], seeds.ids[item[a]], n, got, len(t), got / n, [{"item": x, "doc": y, "words": z} for x, y, z in sorted(t)]))
+                out = leaks(part.column(1), shared.value, coverage)
                 if out:
                     c = list(zip(*out, strict=True))
                     kind = pa.list_(pa.struct([("item", pa.int64()), ("doc", pa.int64()), ("words", pa.int64())]))
@@ -169,3 +173,23 @@ def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cove
         one = text.mapInArrow(find, OUT)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], OUT)
+
+
+def leaked_column(spark, benchmark: DataFrame, text="text", min_match: int = MIN_MATCH, coverage: float = COVERAGE):
+    """Whether any item leaked into a text column, for use on frames of any columns."""
+    def of(shared):
+        @F.arrow_udf("boolean")
+        def own(column: pa.Array) -> pa.Array:
+            hit = [np.zeros(0, bool)]
+            for part in tv.slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+                rows = np.zeros(part.num_rows, bool)
+                rows[[x[0] for x in leaks(part.column(0), shared.value, coverage)]] = True
+                hit.append(rows)
+            return pa.array(np.concatenate(hit))
+
+        return own(F.col(text).cast("string"))
+
+    out = F.lit(False)
+    for ids, texts in _blocks(benchmark):
+        out = out | of(spark.sparkContext.broadcast(Seeds(ids, texts, min_match)))  # BLOCK_BYTES of text
+    return out

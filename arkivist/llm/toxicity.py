@@ -149,6 +149,21 @@ def _scores(w: tv.Words, weights: np.ndarray, bias: float):
     return s, 1 / (1 + np.exp(-z)), np.clip(1 - np.exp(none[of[1:]] - none[of[:-1]]), 0, 1)
 
 
+def score_column(spark, model, text="text"):
+    """The score of a text column, for use on frames of any columns."""
+    shared = spark.sparkContext.broadcast(model)  # 2 ** FEATURE_BITS weights
+
+    @F.arrow_udf("double")
+    def own(texts: pa.Array) -> pa.Array:
+        weights, bias = shared.value
+        out = [np.zeros(0)]
+        for part in tv.slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            out.append(_scores(tv.Words(part.column(0), tv.NOT_ALNUM, lower=True), weights, bias)[2])
+        return pa.array(np.concatenate(out))
+
+    return own(F.col(text).cast("string"))
+
+
 def score(docs: DataFrame, model) -> DataFrame:
     """doc_id, score and spans: byte spans of the sentences with a score of a half or more.
 
