@@ -18,17 +18,11 @@ from arkivist.llm.queries import TOKENIZER
 ID, ROW = "__stage_doc_id", "__stage_row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ids.  Rows without an id stay."""
-    bad = ids.select(F.col("doc_id").alias(ID)).filter(F.col(ID).isNotNull()).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad[ID], "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents whose noisy-or toxicity is a half or more."""
+    session(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold_crc("doc_id", 5) != 0)
-    scores = toxicity.score(docs, model)
-    return _without(docs, scores.filter(F.col("score") >= 0.5))
+    return docs.filter(toxicity.score_column(spark, model) < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +40,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component of five-word Jaccard links of 0.8 or more."""
-    found = jaccard.jaccard_components(docs, k=5, threshold=(80, 100))
-    return _without(docs, found.filter("doc_id != component_id"))
+    found = jaccard.jaccard_components(docs, k=5, threshold=(80, 100)).filter("doc_id != component_id")
+    copies = found.select(F.col("doc_id").alias(ID)).distinct().hint("shuffle_hash")
+    return docs.join(copies, docs["doc_id"].cast("long") == copies[ID], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold at least half of a benchmark item."""
-    return _without(docs, tiling.tile(docs, table(spark, sf_dir, "benchmark")))
+    session(docs)
+    return docs.filter(~tiling.leaked_column(spark, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
