@@ -7,11 +7,11 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arkivist.functions.paths import ancestors, basename, depth, key_str, order_key, parent, parts
 from arkivist.operators.collisions import size_histogram
 from arkivist.operators.common import redealt, written
+from arkivist.operators.numbering import numbered
 from arkivist.ship import ship
 
 VOLUME = ["hostname", "volume"]
@@ -167,9 +167,9 @@ def coverage_report(all_nodes: DataFrame, min_size: int = 0) -> DataFrame:
     """The members of reported groups, numbered in the order of a walk (1: the one to keep)."""
     members, groups = coverage(all_nodes, min_size)
     shown = members.join(redealt(groups.filter("reported").select("sig"), "sig"), "sig", "left_semi")
-    number = F.row_number().over(Window.partitionBy("sig").orderBy(*PLACE)).cast("long")
-    return shown.select(
-        "sig", F.col("group_kind").alias("kind"), "size_each", "file_count_each", "rank", number.alias("member_idx"), *VOLUME, "path",
+    widest = groups.agg(F.max("copies")).first()[0] or 0
+    return numbered(shown, ["sig"], PLACE, "member_idx", widest).select(
+        "sig", F.col("group_kind").alias("kind"), "size_each", "file_count_each", "rank", "member_idx", *VOLUME, "path",
         key_str("hostname", "volume", "path").alias("key"), F.col("covered").alias("covered_by_ancestor"), "sha512", "orig_path", "order_key",
     )
 

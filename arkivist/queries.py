@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arkivist.functions import formats, paths
 from arkivist.operators import collisions, common, hashing, merge, prune, scan, tree
+from arkivist.operators.numbering import numbered
 from arkivist.plans import report
 from arkivist.schema import CATALOG_COLUMNS, KEY
 from arkivist.sources.jsonl import read_jsonl, write_jsonl
@@ -106,10 +106,10 @@ def file_dup_groups(spark, d):
 def keep_candidates(spark, d):
     rows = documents(spark, d)
     many = rows.groupBy("sha512").agg(F.count("*").alias("copies")).filter("copies > 1")
-    number = F.row_number().over(Window.partitionBy("sha512").orderBy("hostname", "volume", "order_key")).cast("long")
     own = rows.withColumn("order_key", paths.order_key("path_norm", False)).join(common.redealt(many, "sha512"), "sha512")
-    numbered = own.select("sha512", "copies", *KEY, number.alias("member_idx"))
-    return numbered.withColumn("tag", F.when(F.col("member_idx") == 1, "KEEP").otherwise("DUPLICATE"))
+    widest = many.agg(F.max("copies")).first()[0] or 0
+    out = numbered(own, ["sha512"], ["hostname", "volume", "order_key"], "member_idx", widest).select("sha512", "copies", *KEY, "member_idx")
+    return out.withColumn("tag", F.when(F.col("member_idx") == 1, "KEEP").otherwise("DUPLICATE"))
 
 
 def dir_totals(spark, d):
