@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arkivist.ship import ship
+
 #: Rows of an Arrow batch; with the slices of textvec this bounds a Python worker.
 BATCH_ROWS = 1000
 
@@ -22,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def session(df: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches of bounded size."""
     spark = df.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -63,6 +66,13 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text (string); columns of these types go through as they are, so
+    that plans which read them twice are alike and share an exchange."""
+    have = dict(docs.dtypes)
+    return docs.select(*[F.col(c) if have[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))])
+
+
 def fold_crc(column: str, mod: int):
     """crc32 of an id's decimal text, modulo mod."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(mod))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session, written
+from arkivist.llm.base import session, texts_of, written
 
 WINDOW = 20
 U64 = np.uint64
@@ -146,9 +146,11 @@ def windows(joined: DataFrame, window: int) -> DataFrame:
 
 def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, text, tid) and their covered word spans (doc_id, tid, spans as start << 32 | end)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.withColumn("tid", F.xxhash64("text"))
-    named = text.filter(F.col("doc_id").isNotNull() & F.col("tid").isNotNull())
+    text = texts_of(docs)
+    # Tells apart rows that share an id; short, for it goes along with every edge.
+    # Never null, or the two joins below would filter it differently and not share one exchange of the texts.
+    text = text.withColumn("tid", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 20)), F.lit(0).cast("long")))
+    named = text.filter(F.col("doc_id").isNotNull())
     marks = written(repeated(named, window), "marks")
     joined = named.join(marks.filter(F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0)).hint("shuffle_hash"), ["doc_id", "tid"]).select("doc_id", "text", "tid", "marks")
     win = windows(joined, window)
@@ -199,7 +201,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     session(docs)
     named, spans = removals(docs, window)
     full = named.join(spans.hint("shuffle_hash"), ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNull())
+    rest = texts_of(docs).filter(F.col("doc_id").isNull())
     full = full.unionByName(rest.withColumn("spans", F.lit(None).cast("array<long>")))
 
     def keep(batches):
