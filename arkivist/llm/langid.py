@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import fold_crc, session
+from arkivist.llm.base import fold_crc, session, texts_of
 
 TRIGRAM_BITS = 16
 #: The fit takes at most so many documents of each language, chosen by a hash of the id, none longer than SAMPLE_CHARS.
@@ -216,7 +216,7 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
                 spans = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(top), spans], ["doc_id", "lang_pred", "score", "spans"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = texts_of(docs)
     return text.mapInArrow(make, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import forget, session, written
+from arkivist.llm.base import forget, session, texts_of, written
 from arkivist.llm.substring import pack
 
 MIN_WORDS = 20
@@ -115,7 +115,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the other.  An empty table gives no rows.
     """
     session(docs)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
+    text = texts_of(docs).withColumn("tid", F.xxhash64("text"))
     named = text.filter(F.col("doc_id").isNotNull())
     late = later_copies(named, min_words)
     runs = late.select("doc_id", "tid", pack(F.col("pos"), F.col("pos") + F.col("need")).alias("s")).groupBy("doc_id", "tid").agg(F.collect_list("s").alias("runs"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session, written
+from arkivist.llm.base import session, texts_of, written
 
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_500_000
@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
+    return texts_of(docs).mapInArrow(cut, PIECE)
 
 
 def two_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session
+from arkivist.llm.base import session, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns.
@@ -189,4 +189,4 @@ def secret_scan(docs: DataFrame) -> DataFrame:
                 spans[r] = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, counts), pa.array(digest), pa.array(spans)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, OUT)
+    return texts_of(docs).mapInArrow(scan, OUT)
