@@ -8,19 +8,22 @@ the model learns by itself which sentences carry the label, and afterwards names
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import fold_crc, session
+from arkivist.llm.base import fold_crc, session, texts_of, written
 
 FEATURE_BITS = 20
 #: The fit takes at most so many labelled documents of each class, chosen by a hash of the id ...
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: ... and none longer than this.
+#: ... and none longer than this; beside them a few long ones, whose many sentences must not add up.
 SAMPLE_CHARS = 8_000
+LONG_TOXIC, LONG_CLEAN, LONG_CHARS = 100, 300, 60_000
 MIN_DOCS = 8
 FIT_AT_ONCE = 1 << 20
 #: Inflected words share these many first bytes.
@@ -53,14 +56,15 @@ def sample(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
     """The labelled documents of the fit: a bounded number of each class."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trains)
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    length = F.length("text")
+    sizes = texts_of(docs).select("doc_id", length.alias("n")).filter(F.col("n") <= LONG_CHARS)
+    own = written(own.join(sizes, "doc_id"), "labelled")
     ids = [
-        own.filter(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
-    ]
-    chosen = ids[0].unionByName(ids[1])  # bounded by the two limits
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    return text.join(F.broadcast(chosen), "doc_id").select("text", "y")
+        own.filter((F.col("y") == y) & ((F.col("n") > SAMPLE_CHARS) == long)).select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        for y, long, most in ((1, False, SAMPLE_TOXIC), (0, False, SAMPLE_CLEAN), (1, True, LONG_TOXIC), (0, True, LONG_CLEAN))
+    ]
+    chosen = reduce(DataFrame.unionByName, ids).distinct()  # bounded by the limits
+    return texts_of(docs).filter(length <= LONG_CHARS).join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
 def bags(chosen: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -187,7 +191,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(doc), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = texts_of(docs)
     return text.mapInArrow(make, "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
