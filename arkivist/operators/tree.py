@@ -83,11 +83,11 @@ def dir_signatures(files: DataFrame, bits: int = 512, most_children: int = MOST_
     only direct children ever meet in one row.
     """
     leaf = files.select(*VOLUME, "path", "sig", F.lit(0).alias("is_dir"), F.size(parts("path")).alias("level"))
-    facts = leaf.agg(F.max("level").alias("top")).first()
+    dirs = leaf.groupBy(*VOLUME, parent("path").alias("p")).agg(F.count("*").alias("n"), F.max("level").alias("level"))
+    facts = dirs.agg(F.max("level").alias("top"), F.max("n").alias("widest")).first()
     if facts.top is None:
         return leaf.select(*VOLUME, "path", "sig")
-    widest = leaf.groupBy(*VOLUME, parent("path").alias("p")).count().agg(F.max("count")).first()[0]
-    sign = _sign_streams if widest > most_children else _sign_arrays
+    sign = _sign_streams if facts.widest > most_children else _sign_arrays
     out, below = None, None
     for level in range(facts.top, 0, -1):
         here = leaf.filter(F.col("level") == level).drop("level")
@@ -101,8 +101,9 @@ def dir_signatures(files: DataFrame, bits: int = 512, most_children: int = MOST_
     return out
 
 
-def dir_nodes(rows: DataFrame, files: DataFrame, bits: int = 512, most_children: int = MOST_CHILDREN) -> DataFrame:
-    totals = dir_totals(rows)
+def dir_nodes(files: DataFrame, bits: int = 512, most_children: int = MOST_CHILDREN) -> DataFrame:
+    """All directories as nodes, from file nodes."""
+    totals = dir_totals(files.select(*VOLUME, F.col("path").alias("path_norm"), "size"))
     signed = dir_signatures(files, bits, most_children)
     out = signed.join(totals, [*VOLUME, "path"])
     return out.select(
@@ -113,8 +114,8 @@ def dir_nodes(rows: DataFrame, files: DataFrame, bits: int = 512, most_children:
 
 def nodes(rows: DataFrame, bits: int = 512) -> DataFrame:
     """All files and directories of a catalog, with signatures and totals."""
-    files = file_nodes(rows)
-    return files.unionByName(dir_nodes(rows, files, bits))
+    files = written(file_nodes(rows), "files")  # read once for each level
+    return files.unionByName(dir_nodes(files, bits))
 
 
 PLACE = ["hostname", "volume", "order_key"]
@@ -151,6 +152,7 @@ def coverage(all_nodes: DataFrame, min_size: int = 0) -> tuple[DataFrame, DataFr
     reported unless all its members are covered.  (An unreported earlier group's members are
     covered themselves, so any group will do in place of a reported one.)
     """
+    all_nodes = written(all_nodes, "nodes")
     groups = written(ranked_groups(duplicate_groups(all_nodes, min_size)), "groups")
     facts = groups.select("sig", "rank", F.col("size").alias("size_each"), F.col("n_files").alias("file_count_each"), F.col("kind").alias("group_kind"))
     members = written(all_nodes.join(facts, "sig"), "members")

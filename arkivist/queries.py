@@ -117,13 +117,11 @@ def dir_totals(spark, d):
 
 
 def dir_signatures(spark, d):
-    rows = part_trees(spark, d)
-    return tree.dir_signatures(tree.file_nodes(rows), BITS)
+    return tree.dir_signatures(tree.file_nodes(part_trees(spark, d)), BITS)
 
 
 def dir_dup_groups(spark, d):
-    rows = part_trees(spark, d)
-    g = tree.duplicate_groups(tree.dir_nodes(rows, tree.file_nodes(rows), BITS))
+    g = tree.duplicate_groups(tree.dir_nodes(tree.file_nodes(part_trees(spark, d)), BITS))
     return g.select("sig", "copies", "size", "n_files", paths.key_str("first_hostname", "first_volume", "path").alias("first_key"))
 
 
