@@ -24,6 +24,8 @@ from arkivist.llm.sharding import hilbert_index
 
 CURVES, DIMS, BITS, RUN = 3, 5, 6, 512
 QUERY_BLOCK = 4096
+#: So many blocks of queries are one plan.
+BLOCKS_AT_ONCE = 8
 SEED = 20
 
 PAIR = "query_id long, vec_id long, score double"
@@ -156,6 +158,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, complete: bool = T
 
         one = first.mapInArrow(past, PAIR)
         more = one if more is None else more.unionByName(one)
+        if i % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
+            more = written(best(more, k).select("query_id", "vec_id", "score"), "past")
     every_one = near.select("query_id", "vec_id", "score")
     if more is not None:
         every_one = every_one.unionByName(more)
