@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arkivist.llm import ann, jaccard, langid, lines, packing, secret_scan, sharding, substring, tiling, toxicity
+from arkivist.llm import ann, jaccard, langid, lines, oracle, packing, secret_scan, sharding, substring, tiling, toxicity
 from arkivist.llm.base import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
