@@ -156,6 +156,9 @@ def oracle_sql() -> dict[str, str]:
         "format_report": f"""WITH {_COVER}, l AS (SELECT *, {_bytes("size_each")} AS bt FROM rep)
             SELECT sig, 0::BIGINT AS line_no, upper(gkind) || '  ' || bt || CASE WHEN gkind = 'dir' THEN '  (' || file_count_each || ' files each)' ELSE '' END || '  ' || copies || ' copies' AS line FROM l WHERE member_idx = 1
             UNION ALL SELECT sig, member_idx, '  ' || CASE WHEN member_idx = 1 THEN 'KEEP-CANDIDATE:' ELSE 'DUPLICATE:     ' END || ' ' || key || CASE WHEN covered THEN '   (covered by ancestor dup)' ELSE '' END FROM l""",
+        "plan_json": f"""WITH {_COVER} SELECT sig, to_json({{'file_count_each': file_count_each, 'kind': gkind, 'members': list({{'covered_by_ancestor': covered, 'file_id': NULL::BIGINT, 'hostname': hostname, 'key': key,
+                'orig_path': CASE WHEN kind = 'file' THEN path END, 'path': path, 'sha512': CASE WHEN kind = 'file' THEN substr(sig, 3) END, 'volume': volume}} ORDER BY member_idx), 'sig': sig, 'size_each': size_each}})::VARCHAR AS value
+            FROM rep GROUP BY sig, file_count_each, gkind, size_each""",
         "jsonl_roundtrip": f"WITH {holes3} SELECT hostname, mount_point, mtime, os, path_norm AS path, path_norm, scanned_at, sha512, size, volume FROM docs",
         "hashlog_replay": f"WITH {docs} SELECT hostname, volume, path_norm, size, sha512 FROM docs",
         "lineitem_upsert": """WITH l AS (SELECT 'h' AS hostname, 'v' || (l_orderkey % 16) AS volume, l_orderkey || '/' || l_linenumber AS path_norm, l_quantity::BIGINT AS size, epoch(l_shipdate)::BIGINT AS t,
