@@ -32,12 +32,12 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 #: A value in a credential context: a naming word, then a sign or "is", then the value.
 CONTEXT = re.compile(
-    r"""(?ai:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer|auth)["']?(?:[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]+)["'`]?([^\s"'`<>,;]{6,256})"""
+    r"""(?ai:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer|auth)["']?(?:[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]+)["'`]?([^\s"'`<>,;]{6,})"""
 )
 _NEEDLES = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"accesskey", b"access_key", b"access-key", b"credential", b"bearer", b"auth")
 MIN_LOG10 = 11.0
-#: Longer values are cut here for the cost alone, which can only make it smaller.
-COST_CHARS = 64
+#: Longer values cost as much as the dearest of their stretches of this length.
+STRETCH = 128
 
 # Words that guessers try first, likeliest first.
 WORDS = (
@@ -95,8 +95,9 @@ def _parts(v: str) -> list[tuple[int, int, float]]:
 
 def guess_log10(value: str) -> float:
     """log10 of the guesses that the cheapest cut of the value costs."""
-    v = value[:COST_CHARS]
-    n = len(v)
+    if len(value) > STRETCH:
+        return max(guess_log10(value[i : i + STRETCH]) for i in range(0, len(value), STRETCH))
+    v, n = value, len(value)
     if not n:
         return 0.0
     ends: dict[int, list[tuple[int, float]]] = {}

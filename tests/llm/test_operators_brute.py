@@ -446,6 +446,11 @@ def test_guess_cost(v):
     assert secret_scan.guess_log10(v) == pytest.approx(plain_guess(v))
 
 
+def test_long_values_are_looked_at_whole():
+    assert secret_scan.guess_log10("a" * 300) < 11 < secret_scan.guess_log10("a" * 300 + "x7Kq9Zp2LmVt")
+    assert [k for k, *_ in secret_scan.find("pwd: " + "q" * 300 + "x7Kq9Zp2LmVt!")] == ["guess"]
+
+
 def test_guess_cost_orders_values():
     cost = [secret_scan.guess_log10(v) for v in ("password", "password1987", "qwertyuiop12", "hunter2hunter2", "x7Kq9Zp2LmVt")]
     assert cost[0] < 2 and cost[1] < 8 and cost[-1] == max(cost) > 20
