@@ -1,6 +1,6 @@
 """A file-system walk as a Spark data source: spark.read.format("fswalk").option("root", ...).
 
-Partitions are the directories just below the root (in groups), and the root's own files.
+Partitions are groups of directories a few levels below the root, and the own files of those above.
 Skipped directories are never entered; links are never followed.  The rows say what was
 skipped and what could not be read, so that a scan can count both.
 """
@@ -17,18 +17,31 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SKIPPED_DIRS = frozenset((".git", ".Spotlight-V100", ".Trashes", ".fseventsd", ".TemporaryItems", "$RECYCLE.BIN", "System Volume Information", ".DocumentRevisions-V100"))
 SKIPPED_FILES = frozenset((".DS_Store", "Thumbs.db", "desktop.ini", ".localized"))
 
+#: Levels that are opened to share out a walk.
+MOST_LEVELS = 6
+
 SCHEMA = "path string, path_hex string, size long, mtime long, status string"
 
 
 class Part(InputPartition):
-    def __init__(self, tops: list[bytes], loose: bool):
-        super().__init__((tops, loose))
-        self.tops, self.loose = tops, loose
+    """Directories to walk wholly, and directories of which only the own entries are read."""
+
+    def __init__(self, deep: list[bytes], shallow: list[bytes]):
+        super().__init__((deep, shallow))
+        self.deep, self.shallow = deep, shallow
+
+
+def subdirs(path: bytes) -> list[bytes]:
+    """Directories below a path that a walk enters; none if it cannot be read (the walk will say so)."""
+    try:
+        return sorted(e.path for e in os.scandir(path) if e.is_dir(follow_symlinks=False) and os.fsdecode(e.name) not in SKIPPED_DIRS)
+    except OSError:
+        return []
 
 
-def entries(root: bytes, top: bytes | None) -> Iterator[tuple]:
-    """Rows of one directory below the root (all of it), or of the root's own files."""
-    todo = [os.path.join(root, top) if top is not None else root]
+def entries(root: bytes, start: bytes, deep: bool) -> Iterator[tuple]:
+    """Rows of a directory below the root: of all its tree, or of its own entries."""
+    todo = [start]
     while todo:
         here = todo.pop()
         try:
@@ -44,17 +57,13 @@ def entries(root: bytes, top: bytes | None) -> Iterator[tuple]:
             except OSError:
                 yield _row(root, e.path, None, "error")
                 continue
-            if stat.S_ISLNK(info.st_mode):
-                yield _row(root, e.path, info, "skipped")
-            elif stat.S_ISDIR(info.st_mode):
-                if top is None:
-                    continue  # another partition's
+            if stat.S_ISDIR(info.st_mode):
                 if name in SKIPPED_DIRS:
                     yield _row(root, e.path, info, "skipped")
-                else:
+                elif deep:
                     below.append(e.path)
             elif not stat.S_ISREG(info.st_mode) or name in SKIPPED_FILES or info.st_size == 0:
-                yield _row(root, e.path, info, "skipped")
+                yield _row(root, e.path, info, "skipped")  # links are never followed
             else:
                 yield _row(root, e.path, info, "file")
         todo.extend(reversed(below))
@@ -77,21 +86,21 @@ class WalkReader(DataSourceReader):
         self.parts = max(1, int(options.get("partitions", "32")))
 
     def partitions(self):
+        """The tree is opened level by level until there is enough to share out."""
         if not os.path.isdir(self.root):
             raise FileNotFoundError(f"no such directory: {os.fsdecode(self.root)}")
-        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and os.fsdecode(e.name) not in SKIPPED_DIRS)
-        out = [Part([], True)]
-        out += [Part(tops[i :: self.parts], False) for i in range(min(self.parts, len(tops)))]
-        return out
+        shallow, deep = [self.root], subdirs(self.root)
+        for _ in range(MOST_LEVELS):
+            if not deep or len(deep) >= 4 * self.parts:
+                break
+            shallow, deep = shallow + deep, [x for d in deep for x in subdirs(d)]
+        return [p for i in range(self.parts) if (p := Part(deep[i :: self.parts], shallow[i :: self.parts])).deep or p.shallow]
 
     def read(self, partition: Part):
-        if partition.loose:
-            yield from entries(self.root, None)
-            for e in sorted(os.scandir(self.root), key=lambda e: e.name):
-                if e.is_dir(follow_symlinks=False) and os.fsdecode(e.name) in SKIPPED_DIRS:
-                    yield _row(self.root, e.path, e.stat(follow_symlinks=False), "skipped")
-        for top in partition.tops:
-            yield from entries(self.root, top)
+        for path in partition.shallow:
+            yield from entries(self.root, path, False)
+        for path in partition.deep:
+            yield from entries(self.root, path, True)
 
 
 class WalkSource(DataSource):

@@ -147,6 +147,16 @@ class SqliteCatalog:
         self.facts()
         return self
 
+    def meta_get(self, key: str) -> str | None:
+        connect(self.path).close()
+        return read_meta(self.path).get(key)
+
+    def meta_put(self, key: str, value) -> None:
+        con = sqlite3.connect(self.path)
+        with con:
+            con.execute("INSERT INTO meta (key, value) VALUES (?, ?) ON CONFLICT (key) DO UPDATE SET value = excluded.value", (key, value))
+        con.close()
+
     def rows(self) -> DataFrame:
         ship(self.spark)
         self.spark.dataSource.register(CatalogSource)

@@ -63,6 +63,12 @@ class CatalogStore:
         option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fs.makeQualified(new), fs.makeQualified(where), option)
 
+    def meta_get(self, key: str):
+        return self.facts().get(key)
+
+    def meta_put(self, key: str, value) -> None:
+        self._swap(self.facts() | {key: value})
+
     def rows(self) -> DataFrame:
         snapshot = self.facts()["snapshot"]
         if not snapshot:

@@ -228,6 +228,24 @@ def test_foreign_catalog_file(spark, tmp_path):
     assert sniff(spark, str(tmp_path / "plainname")) == "sqlite"
 
 
+def test_walks_are_shared_out(tmp_path):
+    from arkivist.sources.fswalk import WalkReader
+
+    names = {f"one/{a}/{b}/{c}": "x" for a in "abc" for b in "de" for c in "fgh"} | {"top": "x", "one/.git/y": "x", "one/a/.DS_Store": "x"}
+    reader = WalkReader({"root": tree(tmp_path / "t", names), "partitions": "4"})
+    parts = reader.partitions()
+    rows_ = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[0] for r in rows_ if r[4] == "file") == sorted(n for n in names if ".git" not in n and ".DS" not in n)
+    assert sorted(r[0] for r in rows_ if r[4] == "skipped") == ["one/.git", "one/a/.DS_Store"]
+    assert len(parts) == 4 and max(sum(1 for _ in reader.read(p)) for p in parts) < 10
+
+
+def test_meta(spark, tmp_path, catalog):
+    store = sources.open_catalog(spark, str(catalog)).create("d", 5)
+    store.meta_put("dataset_name", "e")
+    assert store.meta_get("dataset_name") == "e" == store.facts()["dataset_name"] and store.meta_get("none") is None
+
+
 def test_full_hash(spark, tmp_path):
     result = scan(spark, tmp_path / "c", tree(tmp_path / "t", {"a": "1", "b": "22", "c": "333"}), full_hash=True)
     assert result.hashed == 3 and all(r.sha512 for r in rows(spark, tmp_path / "c"))

@@ -47,6 +47,9 @@ def test_formats(spark):
     sizes = [0, 1, 1023, 1024, 1536, 1024**2 - 1, 1024**2, 5 * 1024**3, 1024**5, 3 * 1024**6]
     rows = spark.createDataFrame([(s,) for s in sizes], "b long")
     assert [r[0] for r in rows.select(formats.fmt_bytes("b")).collect()] == [formats.bytes_text(s) for s in sizes]
+    functions.register(spark)
+    rows.createOrReplaceTempView("sizes")
+    assert [r[0] for r in spark.sql("SELECT fmt_bytes(b) FROM sizes").collect()] == [formats.bytes_text(s) for s in sizes]
     assert formats.bytes_text(1536) == "1.50 KB" and formats.bytes_text(5) == "5 B"
     seconds = [0, 59, 60, 61, 3599, 3600, 3661, 90061]
     rows = spark.createDataFrame([(s,) for s in seconds], "s long")
