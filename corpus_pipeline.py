@@ -3,6 +3,10 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir).  Each stage is
 written as Parquet and read again as the next one's documents.  All but the last return the
 columns of documents, whatever these are.
+
+Null and empty texts pass all filters, and so do rows without an id where rows are compared
+by id; a filter that looks at one text only looks at theirs too.  Repeated rows stay or go
+together.  Empty tables give empty results.
 """
 
 from __future__ import annotations
