@@ -85,7 +85,7 @@ def scan_command(
     walk = _walk(spark, root, hostname, volume, mount_point or root, now)
     states = {r.status: r.n for r in walk.groupBy("status").agg(F.count("*").alias("n")).collect()}
     result = ScanResult(states.get("file", 0), 0, states.get("skipped", 0), states.get("error", 0))
-    _say(quiet, f"[scan] walk done: {result.files} files cataloged, {result.skipped} skipped, {result.errors} errors")
+    _say(quiet, f"[scan] walked: {result.files} files, {result.skipped} left out, {result.errors} unreadable")
     files = walk.filter("status = 'file'").drop("status")
     # names that differ in case only are one file on some systems
     rest = [c for c in files.columns if c not in KEY]
@@ -116,9 +116,9 @@ def scan_command(
         found = read.filter(F.col("sha512").isNotNull())
         log(found)
         rows = merge.set_digests(rows, found)
-        _say(quiet, f"[scan] collision-hash done: {result.hashed} hashed, {result.unreachable} unreachable, {duration_text(time.time() - started)}")
+        _say(quiet, f"[scan] sizes that collide: {result.hashed} files hashed, {result.unreachable} out of reach, after {duration_text(time.time() - started)}")
     store.commit(written(rows, "catalog"))
-    _say(quiet, f"[scan] FINAL: {result.files} files, {result.hashed} hashed, {result.skipped} skipped, {result.errors} errors, {int(time.time() - started)}s")
+    _say(quiet, f"[scan] committed {result.files} files, {result.hashed} of them hashed now, in {duration_text(time.time() - started)}")
     return result
 
 
@@ -138,7 +138,7 @@ def _rehash(spark, store, volume, root, hostname, mount_point, rehash_list, log,
     if rehash_list:
         own = scan.worklist_rows(own, read_worklist(spark, rehash_list), hostname, volume)
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    _say(quiet, f"[scan] {size.n} files to rehash ({bytes_text(size.b)})")
+    _say(quiet, f"[scan] without a digest: {size.n} files, {bytes_text(size.b)}")
     read = written(hashing.hash_files(own.select(*[c for c in CATALOG_COLUMNS if c != "sha512"]), root=root), "rehashed")
     counts = _counts(read)
     found = read.filter(F.col("sha512").isNotNull())
@@ -193,10 +193,10 @@ def ask(members: list) -> int | str | None:
     """Asks at the terminal."""
     g = members[0]
     files = f" ({g.file_count_each} files each)" if g.kind == "dir" else ""
-    sys.stderr.write(f"\n=== {g.kind.upper()} duplicate, {bytes_text(g.size_each)}{files} ===\n")
+    sys.stderr.write(f"\n{g.kind} of {bytes_text(g.size_each)}{files}, {len(members)} copies:\n")
     for m in members:
         sys.stderr.write(f"  {m.member_idx}. {m.key}{' [covered]' if m.covered_by_ancestor else ''}\n")
-    sys.stderr.write("Keep which? (number, a = keep all, s = skip, q = quit): ")
+    sys.stderr.write("Number of the one to keep (a: all, s: skip, q: quit): ")
     sys.stderr.flush()
     answer = (sys.stdin.readline() or "").strip()
     if answer == "q":
@@ -277,11 +277,11 @@ def prune_command(
     total = prune.plan_totals(deletions, rows).first()
     out.planned_files, out.planned_bytes = total.n_files, total.bytes
     if last is None:
-        _say(quiet, "[prune] nothing to do")
+        _say(quiet, "[prune] no deletion follows from the plan")
         return out
     _say(quiet, f"[prune] total: {total.n_files} files, {bytes_text(total.bytes)}")
     if not apply:
-        _say(quiet, "[prune] DRY RUN -- pass --apply to actually delete")
+        _say(quiet, "[prune] shown only; with --apply it is done")
         return out
     lost = prune.survivor_check(deletions, rows).filter("not survives").select("sha512").limit(20)  # a few for the message
     out.lost = [r.sha512 for r in lost.collect()]
@@ -294,13 +294,13 @@ def prune_command(
         out.code = 1
         return out
     _delete(spark, store, prune.deleted_files(deletions, rows), deletions, hostname, out, quiet)
-    _say(quiet, f"[prune] DONE: {out.deleted_files} files removed, {bytes_text(out.deleted_bytes)} freed, {out.errors} errors")
+    _say(quiet, f"[prune] deleted {out.deleted_files} files of {bytes_text(out.deleted_bytes)}; {out.errors} problems")
     out.code = 2 if out.errors else 0
     return out
 
 
 def _confirm() -> bool:
-    sys.stderr.write("[prune] proceed with deletion? type 'yes' to continue: ")
+    sys.stderr.write("[prune] type 'yes' to delete these: ")
     sys.stderr.flush()
     return sys.stdin.readline().strip() == "yes"
 
@@ -318,18 +318,18 @@ def _delete(spark, store, gone: DataFrame, deletions: DataFrame, hostname: str,
             continue
         full = os.path.join(mount, r.path)
         if not os.path.isfile(full):
-            _say(quiet, f"[prune] file already missing: {full} (removing catalog entry)")
+            _say(quiet, f"[prune] not there any more: {full}; its row goes too")
             out.errors += 1
             confirmed.append((r.hostname, r.volume, r.path_norm))
             continue
         try:
             if os.stat(full).st_size != r.size:
-                _say(quiet, f"[prune] size mismatch: {full}; skipping")
+                _say(quiet, f"[prune] not the size that was catalogued: {full}; left alone")
                 out.errors += 1
                 continue
             os.unlink(full)
         except OSError as e:
-            _say(quiet, f"[prune] unlink failed: {full}: {e}")
+            _say(quiet, f"[prune] cannot delete {full}: {e}")
             out.errors += 1
             continue
         out.deleted_files += 1
@@ -365,7 +365,7 @@ def merge_command(
     target = None if as_lines else sources.open_catalog(spark, output)
     if target is not None and target.exists():
         if mode != "append":
-            raise FileExistsError(f"refusing to overwrite existing output: {output}")
+            raise FileExistsError(f"output exists already: {output}")
         frames.insert(0, target.rows())
     rows = written(merge.valid_rows(merge.union_inputs(frames), now), "merged")
     merged = merge.merge_catalogs(rows, now)

@@ -98,7 +98,7 @@ def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: i
     """A catalog as a new SQLite file on the driver; an existing file is refused.  Rows are
     streamed in order: one file has one writer.  Returns their number."""
     if os.path.exists(path):
-        raise FileExistsError(f"refusing to overwrite {path}")
+        raise FileExistsError(f"exists already: {path}")
     now = int(time.time()) if now is None else now
     con = sqlite3.connect(path)
     ids: dict[tuple, int] = {}

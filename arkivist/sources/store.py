@@ -44,7 +44,7 @@ class CatalogStore:
 
     def create(self, dataset: str | None = None, now: int | None = None) -> CatalogStore:
         if self.exists():
-            raise FileExistsError(f"refusing to overwrite {self.path}")
+            raise FileExistsError(f"exists already: {self.path}")
         self._swap({"schema_version": SCHEMA_VERSION, "created_at": int(time.time()) if now is None else now, "dataset_name": dataset, "snapshot": 0, "volumes": []})
         return self
 
