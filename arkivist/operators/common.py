@@ -66,7 +66,15 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/arkivist/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     atexit.register(_remove_quietly, spark, path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._arkivist_path = path
+    return out
+
+
+def forget(frame: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    if path := getattr(frame, "_arkivist_path", None):
+        _remove_quietly(frame.sparkSession, path)
 
 
 def catalog_rows(frame: DataFrame) -> DataFrame:
