@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arkivist.operators.common import forget, written
 from arkivist.ship import ship
 
+__all__ = ["fold_crc", "forget", "session", "table", "texts_of", "written"]
+
 #: Rows of an Arrow batch; with the slices of textvec this bounds a Python worker.
 BATCH_ROWS = 1000
 
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,43 +26,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="arkivist_")
-    return _own["dir"]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended; the folder is the session's own
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: this cuts its lineage, and
-    a lost executor costs no more than the tasks since.  Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arkivist/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._arkivist_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Removes a written table that nothing reads any more."""
-    if path := getattr(df, "_arkivist_path", None):
-        _remove(df.sparkSession, path)
-
-
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (string); columns of these types go through as they are, so
     that plans which read them twice are alike and share an exchange."""
