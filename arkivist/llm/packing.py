@@ -66,7 +66,7 @@ class WordIds:
     def _clear(self):
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint16))
         self.parts = [none, none]  # (hashes, where the ids begin, how many)
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat = np.zeros(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
 
     def known(self) -> int:
@@ -79,7 +79,7 @@ class WordIds:
             for e in self.tok.encode_batch_fast(words[i : i + LEARN_AT_ONCE], add_special_tokens=False):
                 ids = e.ids
                 if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), np.uint32)])
+                    self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), self.flat.dtype)])
                 self.flat[self.used : self.used + len(ids)] = ids
                 at.append(self.used)
                 size.append(len(ids))
