@@ -86,9 +86,9 @@ def bags(chosen: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
 
 
 def fit(data, steps: int = 200, rate: float = 0.1, decay: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights of the hashed words and the bias, by Adam on the noisy-or likelihood."""
+    """Weights of the hashed words and the bias, by Adam on the noisy-or likelihood.  The list is used up."""
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
-    data = [d for d in data if len(d[0])]
+    data[:] = [d for d in data if len(d[0])]
     y = np.array([d[2] for d in data], float)
     if not len(data) or y.min() == y.max():
         return weights, (3.0 if len(data) and y.min() == 1 else -8.0)
@@ -99,33 +99,39 @@ def fit(data, steps: int = 200, rate: float = 0.1, decay: float = 3e-5) -> tuple
     kept = np.flatnonzero(seen >= MIN_DOCS)
     place = np.full(1 << FEATURE_BITS, -1, np.int32)  # rare features have no weight
     place[kept] = np.arange(len(kept))
-    x, of, doc, n_sent = [], [], [], 0
-    for k, (f, s, _) in enumerate(data):
+    x, of, doc, n_sent, n_docs = [], [], [], 0, len(data)
+    blocks, held = [], 0
+    for k in range(n_docs):
+        f, s, _ = data[k]
+        data[k] = None  # what is laid out need not be held twice
         own = place[f]
         at = np.repeat(np.arange(n_sent, n_sent + len(s), dtype=np.int32), np.diff(np.append(s, len(f))))
         at = np.broadcast_to(at[:, None], own.shape)[own >= 0]
         x.append(own[own >= 0])
         of.append(at)
-        doc.append(np.full(len(s), k))
+        doc.append(np.full(len(s), k, np.int32))
         n_sent += len(s)
-    x, of, doc = np.concatenate(x), np.concatenate(of), np.concatenate(doc)
+        held += len(at)
+        if held > FIT_AT_ONCE or k == n_docs - 1:
+            blocks.append((np.concatenate(x), np.concatenate(of)))
+            x, of, held = [], [], 0
+    doc = np.concatenate(doc)
     v, bias = np.zeros(len(kept)), -5.0
     m1, m2 = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    cuts = [slice(i, i + FIT_AT_ONCE) for i in range(0, len(x), FIT_AT_ONCE)]
     for t in range(1, steps + 1):
         z = np.full(n_sent, bias)
-        for c in cuts:
-            z += np.bincount(of[c], v[x[c]], n_sent)
+        for x, of in blocks:
+            z += np.bincount(of, v[x], n_sent)
         z = np.clip(z, -30, 30)
-        none = np.bincount(doc, -np.logaddexp(0, z), len(data))  # log prod(1 - p)
+        none = np.bincount(doc, -np.logaddexp(0, z), n_docs)  # log prod(1 - p)
         q = np.exp(none)
         pull = np.where(y == 1, -q / np.maximum(1e-9, 1 - q), 1.0)
         g = pull[doc] / (1 + np.exp(-z))
         grad = np.zeros(len(kept) + 1)
-        for c in cuts:
-            grad[:-1] += np.bincount(x[c], g[of[c]], len(kept))
+        for x, of in blocks:
+            grad[:-1] += np.bincount(x, g[of], len(kept))
         grad[-1] = g.sum()
-        grad /= len(data)
+        grad /= n_docs
         grad[:-1] += decay * v
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.98 * m2 + 0.02 * grad**2
