@@ -265,7 +265,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    rows = odd_rows() + [(5000, "Don't <|endoftext|> 12x ÅÅ é 'LL\x1fq " + "ab" * 11000, "en", "a")]
+    rows = odd_rows() + [(5000, "Don't <|endoftext|> 12x ÅÅ é 'LL\x1fq " + "ab" * 11000, "en", "a"), (5001, "a\x02b e\u0301 \u0301x \u00a0 \u2003y", "en", "a")]
     got = packing.best_two_fit(frame(spark, rows), TOKENIZER, capacity=512).collect()
     want = []
     for i, t, *_ in rows:
