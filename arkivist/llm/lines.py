@@ -11,7 +11,13 @@ Suffixes with equal prefixes of w lines are an interval of the suffix array whos
 common prefixes are at least w; two overlapping power-of-two ranks name it.  The prefix that
 counts for a suffix is the shortest one with ``min_words`` words.  In each interval the
 earliest suffix (smallest document, then line) stays; the others mark their prefixes, and
-marked prefixes that touch make up the maximal repeated runs, which are deleted.
+marked prefixes are deleted.
+
+These prefixes alone leave the tail of a run: the lines after the last prefix that ends
+inside it.  With ``whole``, longer prefixes count too, as long as the lines after the first
+have less than ``min_words`` words together.  That reaches the end of every maximal run: of
+the late suffixes in it, the last one's next suffix is not late, so what the run has after
+the last one's first line is shorter than that.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 
 LINE = "doc_id long, tid long, pos int, rank long, need int"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def worded(w: tv.Words, lines: tv.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +46,20 @@ def worded(w: tv.Words, lines: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     return n, n > 0
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with words: its place, its id, and the lines that min_words take from it (0: too few follow)."""
+def _further(h: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    """For each row, checksums of the first 1, 2, .. count lines from start."""
+    off = np.concatenate([[0], np.cumsum(count)])
+    flat, now = np.zeros(off[-1], np.uint64), np.zeros(len(count), np.uint64)
+    for t in range(int(count.max(initial=0))):
+        own = np.flatnonzero(count > t)
+        x = (now[own] ^ h[start[own] + t]) * _MIX
+        now[own] = flat[off[own] + t] = (x ^ (x >> np.uint64(29))) * _MIX + np.uint64(t + 1)
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def _lines(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    """A row for each line with words: its place, its id, and the lines that min_words take from it (0: too few follow);
+    with whole, checksums of the lines after these by which its prefix may grow."""
 
     def make(batches):
         for part in tv.slices(batches):
@@ -55,23 +74,25 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             to = np.searchsorted(total, total[:-1] + min_words)
             need = np.where(to <= bound[row + 1], to - at, 0)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(take), part.column(2).take(take), pa.array((at - bound[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(need.astype(np.int32))],
-                ["doc_id", "tid", "pos", "rank", "need"],
-            )
+            columns = [part.column(0).take(take), part.column(2).take(take), pa.array((at - bound[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(need.astype(np.int32))]
+            if whole:
+                end = np.minimum(np.searchsorted(total, total[1:] + min_words) - 1, bound[row + 1])
+                columns.append(_further(h, at + need, np.where(need > 0, np.maximum(0, end - at - need), 0)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "pos", "rank", "need", "more"][: len(columns)])
 
-    return docs.mapInArrow(make, LINE)
+    return docs.mapInArrow(make, LINE + ", more array<long>" if whole else LINE)
 
 
 def _apart(col: str):
     return F.bitwise_not(F.bitwise_not(F.col(col)))
 
 
-def later_copies(named: DataFrame, min_words: int) -> DataFrame:
+def later_copies(named: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     """doc_id, tid, pos, need: line runs that an earlier suffix has too.  named: doc_id, text, tid."""
-    ids = _lines(named, min_words)
+    ids = _lines(named, min_words, whole)
+    more = ["more"] if whole else []
     tied = ids.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select(_apart("rank").alias("rank"))
-    level = written(ids.join(tied, "rank").select("doc_id", "tid", "pos", "rank", "need"), "suffixes")
+    level = written(ids.join(tied, "rank").select("doc_id", "tid", "pos", "rank", "need", *more), "suffixes")
     most = level.agg(F.max("need")).first()[0] or 0
     late, span = None, 1
     while span <= most:
@@ -82,6 +103,9 @@ def later_copies(named: DataFrame, min_words: int) -> DataFrame:
             here = here.withColumn("name", F.xxhash64("need", "rank", "rank2"))
         else:
             here = here.withColumn("name", F.col("rank"))
+        if whole:
+            longer = F.concat(F.array("name"), F.transform("more", lambda m: F.xxhash64("name", m)))
+            here = here.select("doc_id", "tid", "pos", "need", F.posexplode(longer).alias("by", "name")).withColumn("need", F.col("need") + F.col("by"))
         here = written(here.select("doc_id", "tid", "pos", "need", "name"), "intervals")
         first = here.groupBy("name").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).filter("c > 1").select(_apart("name").alias("name"), "first")
         found = here.join(first, "name").filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "tid", "pos", "need")
@@ -90,11 +114,13 @@ def later_copies(named: DataFrame, min_words: int) -> DataFrame:
             break
         ahead = Window.partitionBy("doc_id", "tid").orderBy("pos").rangeBetween(span, span)
         pairs = level.withColumn("rank2", F.max("rank").over(ahead)).filter(F.col("rank2").isNotNull())
+        if whole:  # the others have had their turn
+            pairs = pairs.withColumn("more", F.when(F.col("need") >= 2 * span, F.col("more")))
         pairs = written(pairs, "pairs")
         shared = pairs.groupBy("rank", "rank2").agg(F.count("*").alias("c")).filter("c > 1").select("rank", "rank2")
         # The place in a sorted frame grows with the pair: an order-preserving rank.
         ranked = shared.orderBy("rank", "rank2").withColumn("next", F.monotonically_increasing_id())
-        grown = pairs.join(ranked, ["rank", "rank2"]).select("doc_id", "tid", "pos", F.col("next").alias("rank"), "need")
+        grown = pairs.join(ranked, ["rank", "rank2"]).select("doc_id", "tid", "pos", F.col("next").alias("rank"), "need", *more)
         before, level = level, written(grown, "suffixes")
         forget(pairs)
         if span > 1:
@@ -105,19 +131,20 @@ def later_copies(named: DataFrame, min_words: int) -> DataFrame:
     return late
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc_id, text (null stays null), kept, n_lines, n_removed, for each row of documents.
 
-    Lines are split at newlines.  Deleted are the lines of all runs with min_words words or
-    more that start earlier, in a document of smaller id or above in the same one.  Lines
-    without a word are never deleted, and do not part the lines around them.  Rows without
-    an id are compared with nothing.  Repeated rows have the same place, so neither goes for
-    the other.  An empty table gives no rows.
+    Lines are split at newlines.  Deleted are the lines of all shortest runs with min_words
+    words or more that start earlier, in a document of smaller id or above in the same one;
+    with whole, of all such runs, so that maximal ones go to their last line.  Lines without
+    a word are never deleted, and do not part the lines around them.  Rows without an id are
+    compared with nothing.  Repeated rows have the same place, so neither goes for the other.
+    An empty table gives no rows.
     """
     session(docs)
     text = texts_of(docs).withColumn("tid", F.xxhash64("text"))
     named = text.filter(F.col("doc_id").isNotNull())
-    late = later_copies(named, min_words)
+    late = later_copies(named, min_words, whole)
     runs = late.select("doc_id", "tid", pack(F.col("pos"), F.col("pos") + F.col("need")).alias("s")).groupBy("doc_id", "tid").agg(F.collect_list("s").alias("runs"))
     full = named.join(runs.hint("shuffle_hash"), ["doc_id", "tid"], "left").select("doc_id", "text", "runs")
     full = full.unionByName(text.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("runs")))
