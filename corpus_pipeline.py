@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs, and documents of which nothing else was left.  n_chars follows the text."""
-    made = lines.line_dedup(docs).filter("n_removed > 0").select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(ROW), F.col("kept").alias("__stage_text"))
+    """Deletes later copies of whole repeated line runs, and documents of which nothing else was left.  n_chars follows the text."""
+    made = lines.line_dedup(docs, whole=True).filter("n_removed > 0").select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(ROW), F.col("kept").alias("__stage_text"))
     made = made.dropDuplicates([ID, ROW])
     match = (docs["doc_id"].cast("long") == made[ID]) & (F.xxhash64(docs["text"].cast("string")) == made[ROW])
     out = docs.join(made, match, "left").filter(F.col("__stage_text").isNull() | F.col("__stage_text").rlike("\\S"))
