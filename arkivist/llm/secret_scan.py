@@ -3,7 +3,10 @@
 The guess cost of a value is the cheapest way to cut it into known words, dates, repeats,
 keyboard walks and brute-force spans, by dynamic programming over (end, number of parts):
 log10 of the product of the parts' guesses times the orderings of the parts.  A value that
-costs at least ``MIN_LOG10`` guesses is reported as a span of kind ``guess``.
+costs at least ``MIN_LOG10`` guesses is reported as a span of kind ``guess``.  After a sign,
+"is" or "was" every value is weighed; after a blank alone only values with a digit, a sign or
+an inner capital, as any plain word can follow there.  A value that is not reported may itself
+begin with a naming word, so the search goes on at its start.
 
 Bytes are searched first for what any match must hold; only texts with such bytes are
 decoded and matched, over their whole length.
@@ -30,9 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-#: A value in a credential context: a naming word, then a sign or "is", then the value.
+#: A value in a credential context: a naming word, then a sign or "is" (group 1) or a blank, then the value (group 2).
 CONTEXT = re.compile(
-    r"""(?ai:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer|auth)["']?(?:[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|[\x20\t]+(?:is|was)[\x20\t]+|[\x20\t]+)["'`]?([^\s"'`<>,;]{6,})"""
+    r"""(?ai:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer|auth)["']?(?:([\x20\t]*(?:[:=]|=>|->)[\x20\t]*|[\x20\t]+(?:is|was)[\x20\t]+)|[\x20\t]+)["'`]?([^\s"'`<>,;]{6,})"""
 )
 _NEEDLES = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"accesskey", b"access_key", b"access-key", b"credential", b"bearer", b"auth")
 MIN_LOG10 = 11.0
@@ -125,11 +128,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     out += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= MIN_HEX]
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".)]}!?:")
-        if any(c.isdigit() for c in value) or any(not c.isalnum() for c in value[:-1]) or any(c.isupper() for c in value[1:]):
+    at = 0
+    while m := CONTEXT.search(text, at):
+        at, value = m.start(2), m[2].rstrip(".)]}!?:")
+        if m[1] or any(c.isdigit() for c in value) or any(not c.isalnum() for c in value[:-1]) or any(c.isupper() for c in value[1:]):
             if guess_log10(value) >= MIN_LOG10:
-                out.append(("guess", m.start(1), m.start(1) + len(value)))
+                out.append(("guess", at, at + len(value)))
+                at += len(value)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
