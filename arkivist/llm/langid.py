@@ -23,6 +23,8 @@ TRIGRAM_BITS = 16
 #: The fit takes at most so many documents of each language, chosen by a hash of the id, none longer than SAMPLE_CHARS.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+#: Of a language that has longer ones only, the fit takes so many of them, whole.
+LONG_DOCS = 20
 SWITCH = 10.0
 #: How much better one word may score for one language than for another.
 MOST_PER_WORD = 12.0
@@ -142,14 +144,17 @@ def viterbi(score: np.ndarray, fresh: np.ndarray, switch: float, block: int = BL
 
 def train(docs: DataFrame, trains) -> Model | None:
     """Counts of a bounded sample of each language; None without any labelled document."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trains & (F.length("text") <= SAMPLE_CHARS))
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trains)
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r.lang for r in own.select("lang").distinct().collect())  # as many as there are languages
+    short = F.length("text") <= SAMPLE_CHARS
+    most = {r.lang: SAMPLE_DOCS if r.short else LONG_DOCS for r in own.groupBy("lang").agg(F.max(short).alias("short")).collect()}  # as many as there are languages
+    langs = sorted(most)
     if not langs:
         return None
+    own = own.filter(short | F.col("lang").isin([x for x in langs if most[x] == LONG_DOCS]))
     ids = None
     for x in langs:
-        one = own.filter(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+        one = own.filter(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[x])
         ids = one if ids is None else ids.unionByName(one)
     chosen = own.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
     place = {x: i for i, x in enumerate(langs)}
