@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 from arkivist.schema import CATALOG, KEY
 
 _own: dict[str, str] = {}
+#: Written tables that are still there, in the order they were made.
+_made: list[DataFrame] = []
+_at_exit: dict[SparkSession, set[str]] = {}
 
 
 def redealt(frame: DataFrame, *keys: str) -> DataFrame:
@@ -33,10 +37,15 @@ def redealt(frame: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it names none."""
+    """The folder that driver and executors share, as the session names it.  Where it names none, a
+    temporary folder does on a local master; anywhere else each executor would write to its own
+    disk, so that is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; tables between stages need a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="arkivist_catalog_")
     return _own["dir"]
@@ -60,23 +69,47 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _remove_rest() -> None:
+    for spark, paths in _at_exit.items():
+        for path in paths:
+            _remove_quietly(spark, path)
+
+
+atexit.register(_remove_rest)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/arkivist/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    atexit.register(_remove_quietly, spark, path)
+    _at_exit.setdefault(spark, set()).add(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._arkivist_path = path
+    _made.append(out)
     return out
 
 
 def forget(frame: DataFrame) -> None:
     """Removes a written table that nothing reads any more."""
     if path := getattr(frame, "_arkivist_path", None):
+        _made[:] = [x for x in _made if x is not frame]
+        _at_exit.get(frame.sparkSession, set()).discard(path)
         _remove_quietly(frame.sparkSession, path)
 
 
+@contextmanager
+def scratch():
+    """Forgets, at its end, all tables that were written inside it but those that were appended to what it gives."""
+    before, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        for frame in _made[before:]:
+            if not any(frame is k for k in keep):
+                forget(frame)
+
+
 def catalog_rows(frame: DataFrame) -> DataFrame:
     """Any frame with a catalog's columns in the catalog's types; missing optional ones are null, an empty digest is none."""
     have = set(frame.columns)
