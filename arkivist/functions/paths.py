@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import platform
+import re
 import socket
 import sys
 
@@ -74,6 +76,37 @@ def order_key(path, is_dir: bool) -> Column:
     return F.concat(lead, F.lit("2") if is_dir else F.concat(F.lit("0"), basename(path)))
 
 
+#: Stands before the two hex digits of a byte of a name that is not UTF-8.
+ESCAPE = "\ufffd"
+_ESCAPED = re.compile(ESCAPE + "([0-9a-f]{2})")
+
+
+def name_text(raw: bytes) -> str:
+    """A file name as text.  Bytes that are not UTF-8 are escaped, and so is the escape sign itself:
+    different names have different texts."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if text.isprintable() and ESCAPE not in text:
+        return text
+    out = []
+    for c in text:
+        if "\udc80" <= c <= "\udcff":
+            out.append(f"{ESCAPE}{ord(c) - 0xDC00:02x}")
+        else:
+            out.append("".join(f"{ESCAPE}{b:02x}" for b in c.encode()) if c == ESCAPE else c)
+    return "".join(out)
+
+
+def name_bytes(text: str) -> bytes:
+    """The name that name_text made a text of."""
+    if ESCAPE not in text:
+        return os.fsencode(text)
+    raw, at = b"", 0
+    for m in _ESCAPED.finditer(text):
+        raw += text[at : m.start()].encode("utf-8", "surrogateescape") + bytes.fromhex(m[1])
+        at = m.end()
+    return raw + text[at:].encode("utf-8", "surrogateescape")
+
+
 def os_name() -> str:
     return sys.platform
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkivist.functions.paths import name_bytes
 from arkivist.ship import ship
 
 CHUNK = 1 << 20
@@ -20,7 +21,12 @@ def content_digest(column, bits: int = 512):
     return F.sha2(F.col(column) if isinstance(column, str) else column, bits)
 
 
-def file_digest(path: str, bits: int = 512, chunk: int = CHUNK) -> str | None:
+def place(mount: str, path: str) -> bytes:
+    """Where a catalogued file is, as the system names it."""
+    return os.path.join(os.fsencode(mount), name_bytes(path))
+
+
+def file_digest(path: str | bytes, bits: int = 512, chunk: int = CHUNK) -> str | None:
     """Hex digest of a file; None if it cannot be read."""
     h = hashlib.new(f"sha{bits}")
     try:
@@ -48,7 +54,7 @@ def hash_files(rows: DataFrame, bits: int = 512, root: str | None = None) -> Dat
             mounts = b.column(columns.index("mount_point")).to_pylist() if root is None else [root] * b.num_rows
             sha, status = [], []
             for mount, path in zip(mounts, b.column(columns.index("path")).to_pylist(), strict=True):
-                full = os.path.join(mount, path) if mount else ""
+                full = place(mount, path) if mount else b""
                 if not mount or not os.path.isdir(mount) or not os.path.isfile(full):
                     digest, what = None, "unreachable"
                 else:

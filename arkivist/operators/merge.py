@@ -3,7 +3,9 @@
 A later row with the same or a newer scan time replaces path, size and mtime; its digest
 replaces the digest if it has one; a digest also fills a gap whatever its age.  As windows
 over the arrivals of a key: a digest is accepted where no earlier arrival was scanned later,
-and the last accepted digest wins, or else the first one.  Windows and aggregates are by the
+and the last accepted digest wins, or else the first one.  A tombstone (deleted) takes away all
+that came before it.  A folded row stands for its arrivals: folded again with later ones, it
+gives what all of them give.  Windows and aggregates are by the
 same key, so one exchange serves them all.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,9 +22,14 @@ from arkivist.operators.common import catalog_rows
 from arkivist.schema import CATALOG, CATALOG_COLUMNS, KEY
 
 
+def _deleted(rows: DataFrame) -> Column:
+    return F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in rows.columns else F.lit(False)
+
+
 def valid_rows(rows: DataFrame, now: int) -> DataFrame:
-    """JSON-lines rows with what they may leave out; rows without host, volume or path go."""
-    r = rows.dropna(subset=["hostname", "volume", "path"])
+    """JSON-lines rows with what they may leave out; rows without host, volume or path go, but for tombstones, which need a path_norm."""
+    r = rows.dropna(subset=["hostname", "volume"]).withColumn("deleted", _deleted(rows))
+    r = r.filter(F.col("path").isNotNull() | (F.col("deleted") & F.col("path_norm").isNotNull()))
     return r.withColumns({
         "path_norm": F.coalesce("path_norm", normalize_path("path", "os")),
         "scanned_at": F.coalesce("scanned_at", F.lit(now).cast("long")),
@@ -46,12 +53,21 @@ def union_inputs(inputs: list[DataFrame]) -> DataFrame:
             row_no.alias("row"),
         )
         have = set(frame.columns)
-        out.append(frame.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CATALOG], seq.alias("seq")))
+        out.append(frame.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CATALOG], _deleted(frame).alias("deleted"), seq.alias("seq")))
     return reduce(DataFrame.unionByName, out)
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    """The arrivals after the last tombstone of their key."""
+    if "deleted" not in rows.columns:
+        return rows
+    gone = F.max(F.when(F.col("deleted"), F.col("seq"))).over(Window.partitionBy(*KEY))
+    return rows.withColumn("_gone", gone).filter(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone"))).drop("_gone", "deleted")
+
+
 def _with_state(rows: DataFrame) -> DataFrame:
-    """Adds acc (the digest, where it is accepted) and before (the digest the key had)."""
+    """The live arrivals with acc (the digest, where it is accepted) and before (the digest the key had)."""
+    rows = _live(rows)
     w = Window.partitionBy(*KEY).orderBy("seq")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     r = rows.withColumn("sha512", F.when(F.col("sha512") != "", F.col("sha512")))
@@ -84,7 +100,7 @@ def merge_fold(rows: DataFrame) -> DataFrame:
 
 def merge_volumes(rows: DataFrame, now: int) -> DataFrame:
     """One row for each volume that has files: mount point and system of its first arrival, scanned now."""
-    v = rows.groupBy("hostname", "volume").agg(F.min_by(F.struct("mount_point", "os"), "seq").alias("first"))
+    v = rows.filter(~_deleted(rows)).groupBy("hostname", "volume").agg(F.min_by(F.struct("mount_point", "os"), "seq").alias("first"))
     return v.select("hostname", "volume", F.col("first.mount_point").alias("mount_point"), F.col("first.os").alias("os"), F.lit(now).cast("long").alias("scanned_at"))
 
 
@@ -95,7 +111,7 @@ def merge_catalogs(rows: DataFrame, now: int) -> DataFrame:
 
 
 def merge_counters(rows: DataFrame) -> DataFrame:
-    """One row: total, conflicts (arrivals at a known key), hash_disagreements (digest differs from the one known then)."""
+    """One row, of live arrivals: total, conflicts (arrivals at a known key), hash_disagreements (digest differs from the one known then)."""
     r = _with_state(rows)
     known = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")) > 1
     r = r.select(known.alias("known"), (F.col("before").isNotNull() & F.col("sha512").isNotNull() & (F.col("before") != F.col("sha512"))).alias("differs"))

@@ -24,6 +24,8 @@ CATALOG = _of(
     ("path_norm", _S, True), ("scanned_at", _L, True), ("sha512", _S, True), ("size", _L, True), ("volume", _S, True),
 )
 CATALOG_COLUMNS = CATALOG.names
+#: A line of a hash log: a catalog's row, or a tombstone (deleted) that takes one away.
+LOG = T.StructType([*CATALOG.fields, T.StructField("deleted", T.BooleanType())])
 #: A row's identity: catalogs' own numbers are never compared across catalogs.
 KEY = ["hostname", "volume", "path_norm"]
 

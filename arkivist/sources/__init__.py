@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arkivist.schema import LOG
 from arkivist.ship import ship
 from arkivist.sources.fswalk import WalkSource
 from arkivist.sources.jsonl import read_jsonl, sniff
@@ -25,7 +26,7 @@ def read_catalog(spark: SparkSession, path: str, lenient: bool = False) -> DataF
         register(spark)
         return spark.read.format("sqlite_catalog").load(path)
     if kind == "jsonl":
-        return read_jsonl(spark, path, lenient=lenient)
+        return read_jsonl(spark, path, LOG, lenient=lenient)
     if kind == "store":
         return CatalogStore(spark, path).rows()
     return spark.read.parquet(path)

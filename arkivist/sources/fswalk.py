@@ -2,7 +2,8 @@
 
 Partitions are groups of directories a few levels below the root, and the own files of those above.
 Skipped directories are never entered; links are never followed.  The rows say what was
-skipped and what could not be read, so that a scan can count both.
+skipped and what could not be read, so that a scan can count both.  Names that are not UTF-8 come
+escaped (see name_text), so that no two of them are one row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from arkivist.functions.paths import name_text
+
 # Names that are never entered or recorded.
 SKIPPED_DIRS = frozenset((".git", ".Spotlight-V100", ".Trashes", ".fseventsd", ".TemporaryItems", "$RECYCLE.BIN", "System Volume Information", ".DocumentRevisions-V100"))
 SKIPPED_FILES = frozenset((".DS_Store", "Thumbs.db", "desktop.ini", ".localized"))
@@ -20,7 +23,7 @@ SKIPPED_FILES = frozenset((".DS_Store", "Thumbs.db", "desktop.ini", ".localized"
 #: Levels that are opened to share out a walk.
 MOST_LEVELS = 6
 
-SCHEMA = "path string, path_hex string, size long, mtime long, status string"
+SCHEMA = "path string, size long, mtime long, status string"
 
 
 class Part(InputPartition):
@@ -70,14 +73,7 @@ def entries(root: bytes, start: bytes, deep: bool) -> Iterator[tuple]:
 
 
 def _row(root: bytes, path: bytes, info, status: str) -> tuple:
-    rel = os.path.relpath(path, root)
-    text = os.fsdecode(rel)
-    try:
-        text.encode("utf-8")
-        hexed = None
-    except UnicodeEncodeError:  # not UTF-8 on disk: shown with replacement signs, exact in hex
-        text, hexed = rel.decode("utf-8", "replace"), rel.hex()
-    return (text, hexed, info.st_size if info else None, int(info.st_mtime) if info else None, status)
+    return (name_text(os.path.relpath(path, root)), info.st_size if info else None, int(info.st_mtime) if info else None, status)
 
 
 class WalkReader(DataSourceReader):

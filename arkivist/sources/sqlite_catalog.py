@@ -16,19 +16,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from arkivist.operators.common import catalog_rows, empty
 from arkivist.schema import CATALOG, CATALOG_COLUMNS, SCHEMA_VERSION
 from arkivist.ship import ship
-from arkivist.sources.jsonl import write_jsonl
+from arkivist.sources.jsonl import append_log
 
 ROWS_AT_ONCE = 250_000
 SCHEMA = "file_id long, hostname string, mount_point string, mtime long, os string, path string, path_norm string, scanned_at long, sha512 string, size long, volume string, by_volume boolean, row_no long"
 
-# Tables and columns of a catalog file.
+# Tables, columns and indexes of a catalog file, by the names other programs look for.
 DDL = (
     "CREATE TABLE meta (key TEXT PRIMARY KEY, value TEXT)",
     "CREATE TABLE volumes (volume_id INTEGER PRIMARY KEY AUTOINCREMENT, hostname TEXT NOT NULL, volume TEXT NOT NULL, mount_point TEXT, os TEXT, scanned_at INTEGER, UNIQUE (hostname, volume))",
     "CREATE TABLE files (file_id INTEGER PRIMARY KEY AUTOINCREMENT, volume_id INTEGER NOT NULL REFERENCES volumes (volume_id) ON DELETE CASCADE, path TEXT NOT NULL, path_norm TEXT NOT NULL, "
     "size INTEGER NOT NULL, mtime INTEGER NOT NULL, sha512 TEXT, scanned_at INTEGER NOT NULL, UNIQUE (volume_id, path_norm))",
-    "CREATE INDEX files_by_digest ON files (sha512) WHERE sha512 IS NOT NULL",
-    "CREATE INDEX files_by_size ON files (size)",
+    "CREATE INDEX idx_files_sha512 ON files (sha512) WHERE sha512 IS NOT NULL",
+    "CREATE INDEX idx_files_size ON files (size)",
+    "CREATE INDEX idx_files_volume_path ON files (volume_id, path_norm)",
 )
 
 
@@ -94,13 +95,26 @@ class CatalogSource(DataSource):
         return CatalogReader(self.options)
 
 
-def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: int | None = None, volumes: list[dict] | None = None) -> int:
-    """A catalog as a new SQLite file on the driver; an existing file is refused.  Rows are
-    streamed in order: one file has one writer.  Returns their number."""
-    if os.path.exists(path):
-        raise FileExistsError(f"exists already: {path}")
-    now = int(time.time()) if now is None else now
-    con = sqlite3.connect(path)
+def writer(path: str, wait: float = 5.0) -> sqlite3.Connection:
+    """A connection that holds the file's write lock; what a killed writer left in its log is taken in first."""
+    con = sqlite3.connect(path, timeout=wait, isolation_level=None)
+    try:
+        con.execute("BEGIN IMMEDIATE")
+    except sqlite3.OperationalError as e:
+        con.close()
+        raise BlockingIOError(f"catalog {path} is in use by another writer: {e}") from e
+    return con
+
+
+def probe(path: str) -> None:
+    """Raises BlockingIOError where another writer is at work."""
+    con = writer(path, 0.0)
+    con.execute("ROLLBACK")
+    con.close()
+
+
+def _fill(con: sqlite3.Connection, rows: DataFrame, now: int, volumes: list[dict]) -> int:
+    """Volumes and rows into empty tables; rows are streamed in order: one file has one writer."""
     ids: dict[tuple, int] = {}
 
     def volume(hostname, name, mount_point, system, scanned_at) -> int:
@@ -110,22 +124,37 @@ def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: i
         return ids[key]
 
     n = 0
-    with con:
+    for v in volumes:
+        volume(v["hostname"], v["volume"], v["mount_point"], v["os"], v["scanned_at"])
+    for r in rows.select(*CATALOG_COLUMNS).orderBy("hostname", "volume", "path_norm").toLocalIterator(prefetchPartitions=True):
+        number = volume(r.hostname, r.volume, r.mount_point, r.os, now)
+        con.execute("INSERT INTO files (volume_id, path, path_norm, size, mtime, sha512, scanned_at) VALUES (?, ?, ?, ?, ?, ?, ?)", (number, r.path, r.path_norm, r.size, r.mtime, r.sha512, r.scanned_at))
+        n += 1
+    return n
+
+
+def write_catalog(rows: DataFrame, path: str, dataset: str | None = None, now: int | None = None, volumes: list[dict] | None = None) -> int:
+    """A catalog as a new SQLite file on the driver; an existing file is refused.  Returns the number of rows."""
+    if os.path.exists(path):
+        raise FileExistsError(f"exists already: {path}")
+    now = int(time.time()) if now is None else now
+    con = writer(path)
+    try:
         for statement in DDL:
             con.execute(statement)
         con.executemany("INSERT INTO meta VALUES (?, ?)", [("schema_version", str(SCHEMA_VERSION)), ("created_at", str(now)), *([("dataset_name", dataset)] if dataset else [])])
-        for v in volumes or ():
-            volume(v["hostname"], v["volume"], v["mount_point"], v["os"], v["scanned_at"])
-        for r in rows.select(*CATALOG_COLUMNS).orderBy("hostname", "volume", "path_norm").toLocalIterator(prefetchPartitions=True):
-            number = volume(r.hostname, r.volume, r.mount_point, r.os, now)
-            con.execute("INSERT INTO files (volume_id, path, path_norm, size, mtime, sha512, scanned_at) VALUES (?, ?, ?, ?, ?, ?, ?)", (number, r.path, r.path_norm, r.size, r.mtime, r.sha512, r.scanned_at))
-            n += 1
+        n = _fill(con, rows, now, volumes or [])
+        con.execute("COMMIT")
+    except BaseException:
+        con.close()
+        os.remove(path)
+        raise
     con.close()
     return n
 
 
 class SqliteCatalog:
-    """A catalog file with the interface of a CatalogStore; a commit writes a new file and swaps it in."""
+    """A catalog file with the interface of a CatalogStore; a commit is one transaction in the file."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -145,6 +174,7 @@ class SqliteCatalog:
         if not self.exists():
             return self.create(dataset, now)
         self.facts()
+        probe(self.path)
         return self
 
     def meta_get(self, key: str) -> str | None:
@@ -180,11 +210,16 @@ class SqliteCatalog:
         con.close()
 
     def log(self, rows: DataFrame, hashlog: str | None = None) -> None:
-        write_jsonl(catalog_rows(rows), hashlog or f"{self.path}.hashlog.jsonl", mode="append")
+        append_log(rows, hashlog or f"{self.path}.hashlog.jsonl")
 
     def commit(self, rows: DataFrame, volumes: list[dict] | None = None) -> None:
-        facts, new = self.facts(), f"{self.path}.new"
-        if os.path.exists(new):
-            os.remove(new)
-        write_catalog(rows, new, facts["dataset_name"], facts["created_at"], self.volumes() if volumes is None else volumes)
-        os.replace(new, self.path)
+        """Makes rows the catalog's content.  The file's own journal undoes a commit that breaks off."""
+        facts, volumes = self.facts(), self.volumes() if volumes is None else volumes
+        con = writer(self.path)
+        try:
+            con.execute("DELETE FROM files")
+            con.execute("DELETE FROM volumes")
+            _fill(con, rows, facts["created_at"], volumes)
+            con.execute("COMMIT")
+        finally:
+            con.close()

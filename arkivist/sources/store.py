@@ -2,10 +2,12 @@
 
     <path>/CURRENT         the number of the snapshot that counts, and the catalog's facts (JSON)
     <path>/v=<number>      the rows, partitioned by host and volume
-    <path>.hashlog.jsonl   a folder of JSON lines, one for each row ever written
+    <path>/claim=<number>  taken by the one commit that may make this snapshot
+    <path>.hashlog.jsonl   JSON lines, one for each row ever written (see append_log)
 
-A commit writes the log, then a new snapshot, then swaps CURRENT by a rename.  Readers of an
-older snapshot keep it until the next commit but one.
+A commit writes a new snapshot, claims its number, then swaps CURRENT by a rename.  A commit
+onto another snapshot than the one that was read is refused, so no writer undoes another's work.
+Readers of an older snapshot keep it until the next commit but one.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql import functions as F
 
 from arkivist.operators.common import catalog_rows, empty, filesystem
 from arkivist.schema import CATALOG, CATALOG_COLUMNS, SCHEMA_VERSION
-from arkivist.sources.jsonl import write_jsonl
+from arkivist.sources.jsonl import append_log
 
 
 class CatalogStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._read: int | None = None  # the snapshot that rows() gave last
 
     def _at(self, name: str):
         return filesystem(self.spark, f"{self.path}/{name}")
@@ -70,7 +73,7 @@ class CatalogStore:
         self._swap(self.facts() | {key: value})
 
     def rows(self) -> DataFrame:
-        snapshot = self.facts()["snapshot"]
+        snapshot = self._read = self.facts()["snapshot"]
         if not snapshot:
             return empty(self.spark, CATALOG)
         return self.spark.read.schema(CATALOG).parquet(f"{self.path}/v={snapshot}").select(*CATALOG_COLUMNS)
@@ -87,18 +90,28 @@ class CatalogStore:
         self._swap(facts)
 
     def log(self, rows: DataFrame, hashlog: str | None = None) -> None:
-        write_jsonl(catalog_rows(rows), hashlog or f"{self.path}.hashlog.jsonl", mode="append")
+        append_log(rows, hashlog or f"{self.path}.hashlog.jsonl")
+
+    def _claim(self, number: int) -> None:
+        fs, where = self._at(f"claim={number}")
+        if self.facts()["snapshot"] != number - 1 or fs.exists(where):
+            raise BlockingIOError(f"another writer is at {self.path}, or broke off there (then remove {where})")
+        fs.create(where, False).close()
 
     def commit(self, rows: DataFrame, volumes: list[dict] | None = None) -> None:
         """Makes rows the catalog's content."""
         facts = self.facts()
         old, number = facts["snapshot"], facts["snapshot"] + 1
+        if self._read is not None and self._read != old:
+            raise BlockingIOError(f"{self.path} was changed by another writer since it was read")
         keyed = catalog_rows(rows)
         keyed.repartition("hostname", "volume", F.pmod(F.xxhash64("path_norm"), F.lit(64))).write.mode("overwrite").partitionBy("hostname", "volume").parquet(f"{self.path}/v={number}")
         facts["snapshot"] = number
         if volumes is not None:
             facts["volumes"] = volumes
+        self._claim(number)
         self._swap(facts)
-        if old > 1:
-            fs, where = self._at(f"v={old - 1}")
+        self._read = number
+        for name in (f"v={old - 1}", f"claim={old}"):
+            fs, where = self._at(name)
             fs.delete(where, True)

@@ -1,32 +1,44 @@
-"""Replaying a hash log as a stream: each batch is folded into a catalog store."""
+"""Replaying a hash log as a stream: each batch is folded into a catalog store.
+
+The store's rows come first and the batch's after them, by file, block and line as in a batch
+merge.  Files are taken by their time of change, which for the segments of a log is the order of
+writing.  As a folded row stands for its arrivals, the store ends with what one merge of the
+whole log gives.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from arkivist.operators.common import catalog_rows
+from arkivist.operators.common import filesystem, scratch, written
 from arkivist.operators.merge import merge_catalogs, union_inputs, valid_rows
-from arkivist.schema import CATALOG
+from arkivist.schema import LOG
+from arkivist.sources.jsonl import parse, with_places
 from arkivist.sources.store import CatalogStore
 
 
-def read_hashlog(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(CATALOG).option("maxFilesPerTrigger", files_per_batch).json(folder)
+def read_hashlog(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The lines of a log (a file, or a folder of segments) with their places."""
+    fs, where = filesystem(spark, path)
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if fs.exists(where) and fs.getFileStatus(where).isFile():  # a stream watches folders
+        stream, path = stream.option("pathGlobFilter", where.getName()), where.getParent().toString()
+    return with_places(stream.text(path))
 
 
-def fold_into(store: CatalogStore, now: int):
-    """A foreachBatch function: the store's rows come first, the batch's after them."""
+def fold_into(store: CatalogStore, now: int, lenient: bool = False):
+    """A foreachBatch function."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        old = store.rows().withColumn("row_no", F.lit(0).cast("long"))
-        new = valid_rows(catalog_rows(rows), now).withColumn("row_no", F.col("scanned_at"))
-        store.commit(merge_catalogs(union_inputs([old, new]), now))
+    def batch(lines: DataFrame, _: int) -> None:
+        with scratch():
+            new = valid_rows(parse(lines, LOG, lenient), now)
+            store.commit(written(merge_catalogs(union_inputs([store.rows(), new]), now), "replayed"))
 
     return batch
 
 
-def replay(spark: SparkSession, folder: str, store: CatalogStore, checkpoint: str, now: int) -> None:
-    """Folds all that the log has into the store, and ends.  In a batch a key's rows arrive by scan time."""
-    q = read_hashlog(spark, folder).writeStream.foreachBatch(fold_into(store, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def replay(spark: SparkSession, path: str, store: CatalogStore, checkpoint: str, now: int, files_per_batch: int = 1000, lenient: bool = False) -> None:
+    """Folds all that the log has into the store, and ends.  A malformed line is an error unless lenient."""
+    stream = read_hashlog(spark, path, files_per_batch)
+    q = stream.writeStream.foreachBatch(fold_into(store, now, lenient)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
