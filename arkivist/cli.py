@@ -19,8 +19,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("full-hash", "rehash", "no-hashlog", "any-host"):
         s.add_argument(f"--{name}", action="store_true")
     s.add_argument("--stale-hash", choices=("keep", "invalidate"), default="keep")
-    for name in ("progress-every", "commit-every", "hash-threads"):
-        s.add_argument(f"--{name}", type=int, help="accepted; Spark decides")
+    s.add_argument("--progress-every", type=int, help="files between two lines of progress")
+    s.add_argument("--commit-every", type=int, help="files of a slice that is hashed, logged and committed at once")
+    s.add_argument("--hash-threads", type=int, help="tasks that hash a slice")
     d = sub.add_parser("dedupe", help="report duplicate files and trees")
     d.add_argument("--catalog")
     d.add_argument("--format", choices=("human", "json"), default="human")
@@ -33,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--interactive", action=argparse.BooleanOptionalAction, default=True)
     for name in ("apply", "file-level"):
         r.add_argument(f"--{name}", action="store_true")
+    r.add_argument("--verify", action=argparse.BooleanOptionalAction, default=True, help="read what goes and what stays, and compare it with the catalog")
     r.add_argument("-y", "--yes", action="store_true")
     m = sub.add_parser("merge", help="merge catalogs and logs")
     m.add_argument("--output")
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from arkivist.plans import commands as c
 
     spark = spark or SparkSession.builder.appName("arkivist").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    o = {k: v for k, v in vars(a).items() if k not in ("command", "progress_every", "commit_every", "hash_threads")}
+    o = {k: v for k, v in vars(a).items() if k != "command"}
     try:
         if a.command == "scan":
             c.scan_command(spark, **o)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arkivist.operators import tree
 from arkivist.operators.common import redealt
 from arkivist.schema import KEY
 
@@ -107,10 +108,38 @@ def deleted_files(deletions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def survivor_check(deletions: DataFrame, rows: DataFrame) -> DataFrame:
-    """sha512, n_all, n_deleted, survives for each digest of which something would be deleted."""
-    gone = deleted_files(deletions, rows).filter(F.col("sha512").isNotNull()).groupBy("sha512").agg(F.count("*").alias("n_deleted"))
-    all_ = rows.filter(F.col("sha512").isNotNull()).groupBy("sha512").agg(F.count("*").alias("n_all"))
-    return gone.join(all_, "sha512").select("sha512", "n_all", "n_deleted", (F.col("n_all") > F.col("n_deleted")).alias("survives"))
+    """sha512, n_all, n_deleted, survives for each digest of which something would be deleted.
+    Files without a digest have no known copy: their row, of a null digest, never survives."""
+    gone = deleted_files(deletions, rows).groupBy("sha512").agg(F.count("*").alias("n_deleted"))
+    all_ = redealt(rows.groupBy("sha512").agg(F.count("*").alias("n_all")), "sha512")
+    j = gone.join(all_.withColumnRenamed("sha512", "_all"), F.col("sha512").eqNullSafe(F.col("_all")))
+    return j.select("sha512", "n_all", "n_deleted", ((F.col("n_all") > F.col("n_deleted")) & F.col("sha512").isNotNull()).alias("survives"))
+
+
+def member_states(members: DataFrame, rows: DataFrame, bits: int = 512) -> DataFrame:
+    """A plan's members with state: 'current', 'changed' or 'missing' in the catalog as it is now.
+
+    A file is current if its row has the size and the digest that the plan has for it; a row
+    without a digest has changed.  A directory is current if its signature, made anew from the
+    catalog's rows, is the plan's.  Only the volumes that the plan's directories are on are signed.
+    """
+    known = F.struct("size", F.when(F.col("sha512") != "", F.concat(F.lit("F:"), F.col("sha512"))).alias("sig"), F.lit(1).cast("long").alias("n_files"))
+    files = rows.select("hostname", "volume", F.col("path_norm").alias("path"), F.lit("file").alias("kind"), known.alias("now"))
+    tops = members.filter("kind = 'dir'").select("hostname", "volume").distinct()
+    signed = tree.dir_nodes(tree.file_nodes(rows.join(tops, ["hostname", "volume"], "left_semi")), bits)
+    dirs = signed.select("hostname", "volume", "path", "kind", F.struct("size", "sig", "n_files").alias("now"))
+    expected = F.when(F.col("kind") == "dir", F.col("sig")).otherwise(F.concat(F.lit("F:"), F.coalesce("sha512", F.regexp_extract("sig", "^F:(.*)$", 1))))
+    same = (F.col("now.size") == F.col("size_each")) & F.coalesce(F.col("now.sig") == expected, F.lit(False))
+    out = members.join(files.unionByName(dirs), ["hostname", "volume", "path", "kind"], "left")
+    return out.withColumn("state", F.when(F.col("now").isNull(), "missing").when(same, "current").otherwise("changed")).drop("now")
+
+
+def kept_files(deletions: DataFrame, rows: DataFrame) -> DataFrame:
+    """The catalog rows that a plan's deletions rely on: each kept file, and in kept directories the partner of every deleted file."""
+    keys = ["hostname", "volume", "path_norm"]
+    single = deletions.filter("kind = 'file'").select(F.col("keep.hostname").alias("hostname"), F.col("keep.volume").alias("volume"), F.col("keep.path").alias("path_norm"))
+    below = expand_dirs(deletions, rows).select(F.col("keep_hostname").alias("hostname"), F.col("keep_volume").alias("volume"), F.col("keep_path").alias("path_norm"))
+    return rows.join(single.unionByName(below).distinct(), keys, "left_semi")
 
 
 def plan_totals(deletions: DataFrame, rows: DataFrame) -> DataFrame:

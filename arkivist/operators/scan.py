@@ -9,6 +9,11 @@ from arkivist.operators.common import catalog_rows
 from arkivist.schema import CATALOG_COLUMNS, KEY
 
 
+def load(files: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Files with what is known of their volumes, ordered by host, volume and path.  volumes: a row for each."""
+    return files.join(volumes, ["hostname", "volume"]).orderBy(*KEY)
+
+
 def unchanged(old: str = "o", new: str = "n"):
     return F.col(f"{old}.size").isNotNull() & (F.col(f"{old}.size") == F.col(f"{new}.size")) & (F.col(f"{old}.mtime") == F.col(f"{new}.mtime"))
 

@@ -15,7 +15,7 @@ from arkivist.operators.numbering import numbered
 from arkivist.ship import ship
 
 VOLUME = ["hostname", "volume"]
-#: Directories with more direct children than this are signed in a stream of sorted children.
+#: Directories with more direct children than this, files or directories, are signed in a stream of sorted children.
 MOST_CHILDREN = 500_000
 #: So many levels are one plan; then the level is written, which cuts the lineage.
 LEVELS_AT_ONCE = 4
@@ -75,6 +75,14 @@ def _sign_streams(children: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(sign, "hostname string, volume string, parent string, sig string")
 
 
+def widths(leaf: DataFrame) -> DataFrame:
+    """For each directory the number of its direct children, files and directories, and the depth of its deepest file."""
+    own = leaf.groupBy(*VOLUME, parent("path").alias("p")).agg(F.count("*").alias("n"), F.max("level").alias("level"))
+    every = own.select(*VOLUME, F.explode(F.array_append(ancestors("p"), F.col("p"))).alias("p")).distinct()
+    below = every.filter("p != ''").select(*VOLUME, parent("p").alias("p")).groupBy(*VOLUME, "p").agg(F.count("*").alias("n"), F.lit(0).alias("level"))
+    return own.unionByName(below).groupBy(*VOLUME, "p").agg(F.sum("n").alias("n"), F.max("level").alias("level"))
+
+
 def dir_signatures(files: DataFrame, bits: int = 512, most_children: int = MOST_CHILDREN) -> DataFrame:
     """hostname, volume, path, sig of every directory, from file nodes.
 
@@ -83,8 +91,7 @@ def dir_signatures(files: DataFrame, bits: int = 512, most_children: int = MOST_
     only direct children ever meet in one row.
     """
     leaf = files.select(*VOLUME, "path", "sig", F.lit(0).alias("is_dir"), F.size(parts("path")).alias("level"))
-    dirs = leaf.groupBy(*VOLUME, parent("path").alias("p")).agg(F.count("*").alias("n"), F.max("level").alias("level"))
-    facts = dirs.agg(F.max("level").alias("top"), F.max("n").alias("widest")).first()
+    facts = widths(leaf).agg(F.max("level").alias("top"), F.max("n").alias("widest")).first()
     if facts.top is None:
         return leaf.select(*VOLUME, "path", "sig")
     sign = _sign_streams if facts.widest > most_children else _sign_arrays
@@ -154,7 +161,7 @@ def coverage(all_nodes: DataFrame, min_size: int = 0) -> tuple[DataFrame, DataFr
     """
     all_nodes = written(all_nodes, "nodes")
     groups = written(ranked_groups(duplicate_groups(all_nodes, min_size)), "groups")
-    facts = groups.select("sig", "rank", F.col("size").alias("size_each"), F.col("n_files").alias("file_count_each"), F.col("kind").alias("group_kind"))
+    facts = groups.select("sig", "rank", F.col("size").alias("size_each"), F.col("n_files").alias("file_count_each"), F.col("kind").alias("group_kind"), "copies")
     members = written(all_nodes.join(facts, "sig"), "members")
     place = [*VOLUME, "path"]
     above = members.filter("kind = 'dir'").select(*VOLUME, F.col("path").alias("above"), F.col("rank").alias("above_rank"))
@@ -171,7 +178,7 @@ def coverage_report(all_nodes: DataFrame, min_size: int = 0) -> DataFrame:
     shown = members.join(redealt(groups.filter("reported").select("sig"), "sig"), "sig", "left_semi")
     widest = groups.agg(F.max("copies")).first()[0] or 0
     return numbered(shown, ["sig"], PLACE, "member_idx", widest).select(
-        "sig", F.col("group_kind").alias("kind"), "size_each", "file_count_each", "rank", "member_idx", *VOLUME, "path",
+        "sig", F.col("group_kind").alias("kind"), "size_each", "file_count_each", "rank", "copies", "member_idx", *VOLUME, "path",
         key_str("hostname", "volume", "path").alias("key"), F.col("covered").alias("covered_by_ancestor"), "sha512", "orig_path", "order_key",
     )
 
