@@ -14,9 +14,9 @@ def _docs(name: str = "docs", missing: int = 0) -> str:
 
 _PENDING = "SELECT * FROM docs WHERE sha512 IS NULL AND size IN (SELECT size FROM docs GROUP BY size HAVING count(*) > 1)"
 
-_WALK = """walk AS (SELECT hostname, mount_point, mtime, os, path_norm, 2000::BIGINT AS scanned_at,
-        CASE WHEN mtime % 5 = 0 THEN size + 1 ELSE size END AS size, volume FROM docs WHERE mtime % 11 <> 0),
-    old AS (SELECT hostname, volume, path_norm, mtime, scanned_at, CASE WHEN mtime % 4 <> 0 THEN sha512 END AS sha512, size FROM docs WHERE mtime % 13 <> 0)"""
+_WALK = """walk AS (SELECT hostname, mount_point, mtime, os, path_norm || CASE WHEN mtime % 11 = 0 THEN '.new' ELSE '' END AS path_norm, 2000::BIGINT AS scanned_at,
+        CASE WHEN mtime % 5 = 0 THEN size + 1 ELSE size END AS size, volume FROM docs),
+    old AS (SELECT hostname, volume, path_norm || CASE WHEN mtime % 13 = 0 THEN '.old' ELSE '' END AS path_norm, mtime, scanned_at, CASE WHEN mtime % 4 <> 0 THEN sha512 END AS sha512, size FROM docs)"""
 
 _KEEPS = "w.size = o.size AND w.mtime = o.mtime"
 
@@ -28,16 +28,32 @@ _EVENTS = """ev AS (SELECT 'h' || (user_id % 3) AS hostname, 'v' || (user_id % 2
         coalesce(last_value(CASE WHEN acc THEN sha END IGNORE NULLS) OVER pr, first_value(sha IGNORE NULLS) OVER pr) AS before FROM st
         WINDOW pr AS (PARTITION BY hostname, volume, path_norm ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
-_TREES = """trees AS (SELECT p_brand AS hostname, 'v' || (p_partkey % 2) AS volume, p_type AS a, 'k' || (p_size % 4) AS k, 'f' || ((p_partkey // 2) % 2) AS f,
-        arg_max(split_part(p_name, ' ', 2), p_partkey) AS content FROM part GROUP BY ALL),
-    files AS (SELECT hostname, volume, a, k, f, a || '/' || k || '/' || f AS path, 'F:' || sha256(content) AS sig, sha256(content) AS sha512, length(content)::BIGINT AS size FROM trees),
-    d2 AS (SELECT hostname, volume, a, k, 'D:' || sha256(string_agg(f || chr(0) || sig || chr(0), '' ORDER BY f)) AS sig, sum(size)::BIGINT AS size, count(*) AS n FROM files GROUP BY ALL),
-    d1 AS (SELECT hostname, volume, a, 'D:' || sha256(string_agg(k || chr(0) || sig || chr(0), '' ORDER BY k)) AS sig, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM d2 GROUP BY ALL),
-    d0 AS (SELECT hostname, volume, 'D:' || sha256(string_agg(a || chr(0) || sig || chr(0), '' ORDER BY a)) AS sig, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM d1 GROUP BY ALL),
-    dirs AS (SELECT hostname, volume, a || '/' || k AS path, sig, size, n, '1' || a || chr(0) || '1' || k || chr(0) || '2' AS ok FROM d2
-        UNION ALL SELECT hostname, volume, a, sig, size, n, '1' || a || chr(0) || '2' FROM d1 UNION ALL SELECT hostname, volume, '', sig, size, n, '2' FROM d0),
-    nodes AS (SELECT hostname, volume, path, 'dir' AS kind, sig, size, n, ok FROM dirs
-        UNION ALL SELECT hostname, volume, path, 'file', sig, size, 1, '1' || a || chr(0) || '1' || k || chr(0) || '0' || f FROM files)"""
+
+
+def _trees(pre: str = "", later: bool = False) -> str:
+    """CTEs files, dirs and nodes (with a prefix) of the parts' trees."""
+    content = "CASE WHEN p_size % 10 = 0 THEN p_name ELSE 'part ' || ((g * 10 + s * 2 + f) // 3) END"
+    if later:
+        content = f"CASE WHEN p_size = 7 THEN 'new ' || p_partkey ELSE {content} END"
+    return f"""{pre}parts AS (SELECT p_partkey, p_name, p_size, p_partkey % 100 AS r, p_partkey // 100 AS g, (p_partkey % 100 // 10) % 5 AS s, p_partkey % 100 // 50 AS f
+        FROM part {"WHERE p_size <> 8" if later else ""}),
+    {pre}own AS (SELECT 'Brand#' || (11 + r % 5) AS hostname, CASE WHEN r % 5 = 4 THEN 'x' ELSE 'v' END || ((r // 5) % 2) AS volume, 't' || (g % 4) AS t, 'g' || g AS a, 's' || s AS k, 'f' || f AS f,
+        p_size, p_partkey, {content} AS content FROM {pre}parts),
+    {pre}sized AS (SELECT *, t || '/' || a || '/' || k || '/' || f AS path, (length(content) + CASE WHEN p_size = 49 THEN p_partkey * 1000 ELSE 0 END)::BIGINT AS size,
+        CASE WHEN p_size < 48 THEN sha256(content) END AS sha512 FROM {pre}own),
+    {pre}files AS (SELECT *, coalesce('F:' || sha512, CASE WHEN count(*) OVER (PARTITION BY size) > 1 THEN 'X:' ELSE 'U:' END || hostname || ':' || volume || ':' || path) AS sig FROM {pre}sized),
+    {pre}d3 AS (SELECT hostname, volume, t, a, k, 'D:' || sha256(string_agg(f || chr(0) || sig || chr(0), '' ORDER BY f)) AS sig, sum(size)::BIGINT AS size, count(*) AS n FROM {pre}files GROUP BY ALL),
+    {pre}d2 AS (SELECT hostname, volume, t, a, 'D:' || sha256(string_agg(k || chr(0) || sig || chr(0), '' ORDER BY k)) AS sig, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM {pre}d3 GROUP BY ALL),
+    {pre}d1 AS (SELECT hostname, volume, t, 'D:' || sha256(string_agg(a || chr(0) || sig || chr(0), '' ORDER BY a)) AS sig, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM {pre}d2 GROUP BY ALL),
+    {pre}d0 AS (SELECT hostname, volume, 'D:' || sha256(string_agg(t || chr(0) || sig || chr(0), '' ORDER BY t)) AS sig, sum(size)::BIGINT AS size, sum(n)::BIGINT AS n FROM {pre}d1 GROUP BY ALL),
+    {pre}dirs AS (SELECT hostname, volume, t || '/' || a || '/' || k AS path, sig, size, n, '1' || t || chr(0) || '1' || a || chr(0) || '1' || k || chr(0) || '2' AS ok FROM {pre}d3
+        UNION ALL SELECT hostname, volume, t || '/' || a, sig, size, n, '1' || t || chr(0) || '1' || a || chr(0) || '2' FROM {pre}d2
+        UNION ALL SELECT hostname, volume, t, sig, size, n, '1' || t || chr(0) || '2' FROM {pre}d1 UNION ALL SELECT hostname, volume, '', sig, size, n, '2' FROM {pre}d0),
+    {pre}nodes AS (SELECT hostname, volume, path, 'dir' AS kind, sig, size, n, ok FROM {pre}dirs
+        UNION ALL SELECT hostname, volume, path, 'file', sig, size, 1, '1' || t || chr(0) || '1' || a || chr(0) || '1' || k || chr(0) || '0' || f FROM {pre}files)"""
+
+
+_TREES = _trees()
 
 _KEY = "hostname || ':' || volume || ':' || CASE WHEN path = '' THEN '<root>' ELSE path END"
 
@@ -95,6 +111,14 @@ def oracle_sql() -> dict[str, str]:
     raw = rf"CASE WHEN page_id % 2 = 0 THEN './' || replace({url}, '/', '\') || '\' ELSE './/Photos/' || {url} || '//' END"
     clean = r"regexp_replace(regexp_replace(replace(raw, '\', '/'), '/+', '/', 'g'), '^\./', '')"
     docs, holes3 = _docs(), _docs(missing=3)
+    # The log's appends (n) in order; a tombstone takes away what a key had before it.
+    replayed = f"""WITH {docs}, log AS (SELECT 1 AS n, hostname, volume, path_norm, mtime, size, scanned_at, NULL AS sha FROM docs
+        UNION ALL SELECT 2, hostname, volume, path_norm, mtime, size, scanned_at - mtime % 3, CASE WHEN mtime % 4 <> 0 THEN sha512 END FROM docs
+        UNION ALL SELECT 3, hostname, volume, path_norm, mtime, size + 1, scanned_at, CASE WHEN mtime % 5 = 0 THEN sha256(path_norm) END FROM docs
+        UNION ALL SELECT 5, hostname, volume, path_norm, mtime, size, scanned_at, sha512 FROM docs WHERE mtime % 34 = 0),
+        live AS (SELECT * FROM log WHERE n = 5 OR mtime % 17 <> 0),
+        st AS (SELECT *, sha IS NOT NULL AND coalesce(scanned_at >= max(scanned_at) OVER (PARTITION BY hostname, volume, path_norm ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS acc FROM live)
+        SELECT hostname, volume, path_norm, arg_max(size, (scanned_at, n)) AS size, coalesce(arg_max(sha, n) FILTER (acc), arg_min(sha, n) FILTER (sha IS NOT NULL)) AS sha512, max(scanned_at) AS scanned_at FROM st GROUP BY ALL"""
     return {
         "normalize_paths": f"""WITH p AS (SELECT page_id, (['linux', 'darwin', 'MSWin32'])[page_id % 3 + 1] AS os, {raw} AS raw FROM pages),
             q AS (SELECT page_id, os, {clean} AS c FROM p), r AS (SELECT page_id, os, CASE WHEN c = '/' THEN c ELSE regexp_replace(c, '/$', '') END AS c FROM q)
@@ -118,8 +142,9 @@ def oracle_sql() -> dict[str, str]:
         "quick_scan_hash": f"WITH {_docs(missing=2)} SELECT hostname, volume, path_norm, size, sha256(text) AS sha512 FROM ({_PENDING})",
         "file_dup_groups": f"""WITH {docs}, n AS (SELECT *, row_number() OVER (PARTITION BY sha512 ORDER BY hostname, volume, string_split(path_norm, '/')) AS i, count(*) OVER (PARTITION BY sha512) AS c FROM docs)
             SELECT 'F:' || sha512 AS sig, c AS copies, size, hostname || ':' || volume || ':' || path_norm AS first_key FROM n WHERE i = 1 AND c > 1 AND size >= 50""",
-        "keep_candidates": f"""WITH {docs}, n AS (SELECT *, row_number() OVER (PARTITION BY sha512 ORDER BY hostname, volume, string_split(path_norm, '/')) AS member_idx, count(*) OVER (PARTITION BY sha512) AS copies FROM docs)
-            SELECT sha512, copies, hostname, volume, path_norm, member_idx, CASE WHEN member_idx = 1 THEN 'KEEP' ELSE 'DUPLICATE' END AS tag FROM n WHERE copies > 1""",
+        "keep_candidates": f"""WITH {_docs(missing=5)}, n AS (SELECT *, row_number() OVER (PARTITION BY sha512 ORDER BY hostname, volume, string_split(path_norm, '/')) AS member_idx, count(*) OVER (PARTITION BY sha512) AS copies
+            FROM docs WHERE sha512 IS NOT NULL)
+            SELECT sha512, copies, hostname, volume, path_norm AS path, member_idx, CASE WHEN member_idx = 1 THEN 'KEEP-CANDIDATE:' ELSE 'DUPLICATE:' END AS tag FROM n WHERE copies > 1""",
         "dir_totals": f"""WITH {docs}, up AS (SELECT hostname, volume, size, unnest(list_transform([2, 1, 0], lambda i: array_to_string(string_split(path_norm, '/')[1:i], '/'))) AS path FROM docs)
             SELECT hostname, volume, path, sum(size)::BIGINT AS size, count(*) AS n_files FROM up GROUP BY ALL""",
         "dir_signatures": f"WITH {_TREES} SELECT hostname, volume, path, sig FROM dirs",
@@ -138,9 +163,9 @@ def oracle_sql() -> dict[str, str]:
             FROM docs d LEFT JOIN p ON p.mtime = d.mtime""",
         "prune_plan_first": _plan_rows("first"),
         "prune_plan_host": _plan_rows(f"host={PART_HOST}", "Brand#14"),
-        "prune_plan_volume": _plan_rows("volume=v1"),
+        "prune_plan_volume": _plan_rows("volume=x1"),
         "prune_plan_shortest": _plan_rows("shortest-path"),
-        "prune_group_states": f"""WITH {_plan("volume=v0", PART_HOST)} SELECT sig, CASE WHEN NOT bool_or(hostname = '{PART_HOST}') THEN 'no_local' WHEN sig NOT IN (SELECT sig FROM keep) THEN 'skipped' ELSE 'planned' END AS state
+        "prune_group_states": f"""WITH {_plan("volume=x0", PART_HOST)} SELECT sig, CASE WHEN NOT bool_or(hostname = '{PART_HOST}') THEN 'no_local' WHEN sig NOT IN (SELECT sig FROM keep) THEN 'skipped' ELSE 'planned' END AS state
             FROM rep GROUP BY sig""",
         "prune_file_level": f"""WITH {_plan("first", PART_HOST)}, x AS (SELECT d.sig, d.kh, d.kv, d.kp, f.hostname, f.volume, f.path, f.size, f.sha512, {_relative("d.path", "f.path")} AS rel
                 FROM del d JOIN files f ON f.hostname = d.hostname AND f.volume = d.volume AND (d.path = '' OR starts_with(f.path, d.path || '/')) WHERE d.gkind = 'dir')
@@ -160,14 +185,16 @@ def oracle_sql() -> dict[str, str]:
                 'orig_path': CASE WHEN kind = 'file' THEN path END, 'path': path, 'sha512': CASE WHEN kind = 'file' THEN substr(sig, 3) END, 'volume': volume}} ORDER BY member_idx), 'sig': sig, 'size_each': size_each}})::VARCHAR AS value
             FROM rep GROUP BY sig, file_count_each, gkind, size_each""",
         "jsonl_roundtrip": f"WITH {holes3} SELECT hostname, mount_point, mtime, os, path_norm AS path, path_norm, scanned_at, sha512, size, volume FROM docs",
-        "hashlog_replay": f"WITH {docs} SELECT hostname, volume, path_norm, size, sha512 FROM docs",
+        "hashlog_replay": replayed,
+        "file_hash_scan": "SELECT 'd' || (doc_id % 7) || '/doc' || doc_id AS path, strlen(text)::BIGINT AS size, sha256(text) AS sha512, 'hashed' AS hash_status FROM documents WHERE strlen(text) > 0",
+        "prune_stale_plan": f"""WITH {_COVER}, {_trees("later_", True)} SELECT r.sig, r.gkind AS kind, r.hostname, r.volume, r.path, CASE WHEN l.sig IS NULL THEN 'missing' WHEN l.sig = r.sig AND l.size = r.size_each THEN 'current' ELSE 'changed' END AS state
+            FROM rep r LEFT JOIN later_nodes l ON l.hostname = r.hostname AND l.volume = r.volume AND l.path = r.path AND l.kind = r.kind""",
         "lineitem_upsert": """WITH l AS (SELECT 'h' AS hostname, 'v' || (l_orderkey % 16) AS volume, l_orderkey || '/' || l_linenumber AS path_norm, l_quantity::BIGINT AS size, epoch(l_shipdate)::BIGINT AS t,
                 CASE WHEN l_returnflag <> 'N' THEN sha256(l_partkey::VARCHAR) END AS sha, row_number() OVER (ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq FROM lineitem),
             s AS (SELECT *, sha IS NOT NULL AND coalesce(t >= max(t) OVER (PARTITION BY path_norm ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS acc FROM l)
             SELECT hostname, volume, path_norm, arg_max(size, (t, seq)) AS size, coalesce(arg_max(sha, seq) FILTER (acc), arg_min(sha, seq) FILTER (sha IS NOT NULL)) AS sha512, max(t) AS scanned_at FROM s GROUP BY ALL""",
         "stream_size_collisions": f"WITH {docs} SELECT hostname, volume, path_norm, size FROM docs WHERE size IN (SELECT size FROM docs GROUP BY size HAVING count(*) > 1)",
-        "stream_hashlog_merge": f"WITH {holes3} SELECT hostname, mount_point, mtime, os, path_norm AS path, path_norm, scanned_at, sha512, size, volume FROM docs",
-        "store_roundtrip": f"""WITH {docs}, w AS (SELECT hostname, volume, path_norm, CASE WHEN mtime % 5 = 0 THEN size + 1 ELSE size END AS size FROM docs WHERE mtime % 11 <> 0)
-            SELECT hostname, volume, path_norm, coalesce(w.size, d.size) AS size, CASE WHEN d.mtime % 3 <> 0 THEN d.sha512 END AS sha512, CASE WHEN w.size IS NOT NULL THEN 2000 ELSE d.scanned_at END AS scanned_at
-            FROM docs d LEFT JOIN w USING (hostname, volume, path_norm)""",
+        "stream_hashlog_merge": replayed,
+        "store_roundtrip": f"""WITH {docs}, {_WALK}, o AS (SELECT hostname, volume, path_norm, size, scanned_at, CASE WHEN mtime % 3 <> 0 THEN sha512 END AS sha512 FROM docs)
+            SELECT hostname, volume, path_norm, coalesce(w.size, o.size) AS size, o.sha512, coalesce(w.scanned_at, o.scanned_at) AS scanned_at FROM walk w FULL JOIN o USING (hostname, volume, path_norm)""",
     }

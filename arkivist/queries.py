@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arkivist.functions import formats, paths
 from arkivist.operators import collisions, common, hashing, merge, prune, scan, tree
-from arkivist.operators.numbering import numbered
 from arkivist.plans import report
-from arkivist.schema import CATALOG_COLUMNS, KEY
-from arkivist.sources.jsonl import read_jsonl, write_jsonl
+from arkivist.schema import CATALOG_COLUMNS, KEY, LOG
+from arkivist.sources import register
+from arkivist.sources.jsonl import append_log, read_jsonl, tombstones, write_jsonl
 from arkivist.sources.store import CatalogStore
 from arkivist.streaming import collisions as stream_collisions
 from arkivist.streaming import hashlog as stream_hashlog
@@ -64,20 +66,25 @@ def missing_hash_warning(spark, d):
 def catalog_load(spark, d):
     rows = documents(spark, d)
     volumes = rows.groupBy("hostname", "volume").agg(F.min("mount_point").alias("mount_point"), F.max("scanned_at").alias("volume_scanned_at"))
-    return rows.drop("mount_point").join(volumes, ["hostname", "volume"]).select(*KEY, "size", "sha512", "mount_point", "volume_scanned_at").orderBy(*KEY)
+    return scan.load(rows.drop("mount_point"), volumes).select(*KEY, "size", "sha512", "mount_point", "volume_scanned_at")
+
+
+def _renamed(rows, every: int, suffix: str):
+    """Every so many files under another name: new there, and vanished on the other side."""
+    return rows.withColumn("path_norm", F.when(F.col("mtime") % every == 0, F.concat("path_norm", F.lit(suffix))).otherwise(F.col("path_norm"))).withColumn("path", F.col("path_norm"))
 
 
 def _walk(spark, d):
-    """A later walk of the documents: every fifth has grown, every eleventh is gone, every thirteenth is new."""
-    rows = documents(spark, d).filter(F.col("mtime") % 11 != 0)
-    return rows.withColumns({
+    """A later walk of the documents: every fifth has grown, every eleventh has a new name."""
+    return _renamed(documents(spark, d), 11, ".new").withColumns({
         "size": F.when(F.col("mtime") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")),
         "scanned_at": F.lit(2000).cast("long"), "sha512": F.lit(None).cast("string"),
     })
 
 
 def _before(spark, d):
-    return documents(spark, d, missing=4).filter(F.col("mtime") % 13 != 0)
+    """The catalog before it: every thirteenth had another name."""
+    return _renamed(documents(spark, d, missing=4), 13, ".old")
 
 
 def scan_decisions(spark, d):
@@ -104,12 +111,9 @@ def file_dup_groups(spark, d):
 
 
 def keep_candidates(spark, d):
-    rows = documents(spark, d)
-    many = rows.groupBy("sha512").agg(F.count("*").alias("copies")).filter("copies > 1")
-    own = rows.withColumn("order_key", paths.order_key("path_norm", False)).join(common.redealt(many, "sha512"), "sha512")
-    widest = many.agg(F.max("copies")).first()[0] or 0
-    out = numbered(own, ["sha512"], ["hostname", "volume", "order_key"], "member_idx", widest).select("sha512", "copies", *KEY, "member_idx")
-    return out.withColumn("tag", F.when(F.col("member_idx") == 1, "KEEP").otherwise("DUPLICATE"))
+    """The report of duplicate files, as dedupe makes it where no directory is one."""
+    rows = tree.coverage_report(tree.file_nodes(documents(spark, d, missing=5)))
+    return rows.select("sha512", "copies", "hostname", "volume", "path", "member_idx", F.trim(report.tag()).alias("tag"))
 
 
 def dir_totals(spark, d):
@@ -174,7 +178,12 @@ def _prune(rule: str, host: str = PART_HOST) -> Query:
 
 
 def prune_group_states(spark, d):
-    return prune.group_states(_members(spark, d), "volume=v0", PART_HOST)
+    return prune.group_states(_members(spark, d), "volume=x0", PART_HOST)
+
+
+def prune_stale_plan(spark, d):
+    """A plan held against the catalog some time on: what of it still is as it was."""
+    return prune.member_states(_members(spark, d), part_trees(spark, d, later=True), BITS).select("sig", "kind", "hostname", "volume", "path", "state")
 
 
 def prune_file_level(spark, d):
@@ -216,14 +225,48 @@ def jsonl_roundtrip(spark, d):
     return read_jsonl(spark, where).select(*CATALOG_COLUMNS)
 
 
-def hashlog_replay(spark, d):
-    """Two rounds of a log, replayed through the merge: the later rows hold the digests."""
+def _log(spark, d):
+    """A hash log of four appends out of order, in segments: rows without digests, late digests of an
+    older scan, digests of the first scan's time that partly differ, tombstones, and some rows anew."""
     where = _temporary(spark, "hashlog")
     rows = common.catalog_rows(documents(spark, d))
-    write_jsonl(rows.withColumn("sha512", F.lit(None).cast("string")), where)
-    write_jsonl(rows.filter(F.col("sha512").isNotNull()), where, mode="append")
-    log = merge.valid_rows(read_jsonl(spark, where), NOW)
-    return merge.merge_catalogs(merge.union_inputs([log]), NOW).select(*KEY, "size", "sha512")
+    none = F.lit(None).cast("string")
+    append_log(rows.withColumn("sha512", none), where, segments=True)
+    append_log(rows.withColumn("scanned_at", F.col("scanned_at") - F.col("mtime") % 3).withColumn("sha512", F.when(F.col("mtime") % 4 != 0, F.col("sha512"))), where)
+    append_log(rows.withColumn("sha512", F.when(F.col("mtime") % 5 == 0, F.sha2(F.col("path"), BITS))).withColumn("size", F.col("size") + 1), where)
+    append_log(tombstones(rows.filter("mtime % 17 = 0"), NOW), where)
+    append_log(rows.filter("mtime % 34 = 0"), where)
+    return where
+
+
+def hashlog_replay(spark, d):
+    """The log through the merge."""
+    log = merge.valid_rows(merge.union_inputs([read_jsonl(spark, _log(spark, d), LOG)]), NOW)
+    return merge.merge_catalogs(log, NOW).select(*KEY, "size", "sha512", "scanned_at")
+
+
+def file_hash_scan(spark, d):
+    """The documents' texts written as files, walked, and hashed from disk."""
+    root = _temporary(spark, "files")
+    fs, where = common.filesystem(spark, root)
+    if fs.getScheme() != "file":
+        raise ValueError("files are walked on file systems only; spark.checkpoint.dir is none")
+    top = where.toUri().getPath()
+
+    def put(batches):
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                full = os.path.join(top, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8", newline="") as f:
+                    f.write(text or "")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    own = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id") % 7, F.lit("/doc"), "doc_id").alias("path"), "text")
+    own.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    register(spark)
+    found = spark.read.format("fswalk").option("root", top).load().filter("status = 'file'")
+    return hashing.hash_files(found.select("path", "size", F.lit(top).alias("mount_point")), BITS).select("path", "size", "sha512", "hash_status")
 
 
 def lineitem_upsert(spark, d):
@@ -252,11 +295,10 @@ def stream_size_collisions(spark, d):
 
 
 def stream_hashlog_merge(spark, d):
-    where, store = _temporary(spark, "stream-log"), CatalogStore(spark, _temporary(spark, "store"))
-    write_jsonl(common.catalog_rows(documents(spark, d, missing=3)), where)
-    store.create(now=NOW)
-    stream_hashlog.replay(spark, where, store, _temporary(spark, "replay"), NOW)
-    return store.rows().select(*CATALOG_COLUMNS)
+    """The log as a stream, a few files at a time."""
+    store = CatalogStore(spark, _temporary(spark, "store")).create(now=NOW)
+    stream_hashlog.replay(spark, _log(spark, d), store, _temporary(spark, "replay"), NOW, files_per_batch=3)
+    return store.rows().select(*KEY, "size", "sha512", "scanned_at")
 
 
 def store_roundtrip(spark, d):
@@ -273,13 +315,13 @@ def queries() -> dict[str, Query]:
         for f in (
             normalize_paths, path_depth_ancestors, format_values, size_histogram, size_collisions, missing_hash_warning, catalog_load, scan_decisions, scan_upsert,
             quick_scan_hash, file_dup_groups, keep_candidates, dir_totals, dir_signatures, dir_dup_groups, coverage_report, merge_catalogs, merge_counters,
-            merge_volumes, hash_disagreements, rehash_worklist, rehash_list_apply, prune_group_states, prune_file_level, subtree_info, prune_apply_catalog,
+            merge_volumes, hash_disagreements, rehash_worklist, rehash_list_apply, prune_group_states, prune_stale_plan, file_hash_scan, prune_file_level, subtree_info, prune_apply_catalog,
             survivor_check, plan_totals, format_report, plan_json, jsonl_roundtrip, hashlog_replay, lineitem_upsert, stream_size_collisions, stream_hashlog_merge,
             store_roundtrip,
         )
     }
     out |= {
-        "prune_plan_first": _prune("first"), "prune_plan_host": _prune(f"host={PART_HOST}", "Brand#14"), "prune_plan_volume": _prune("volume=v1"),
+        "prune_plan_first": _prune("first"), "prune_plan_host": _prune(f"host={PART_HOST}", "Brand#14"), "prune_plan_volume": _prune("volume=x1"),
         "prune_plan_shortest": _prune("shortest-path"),
     }
     return out

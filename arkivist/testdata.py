@@ -40,12 +40,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directory trees with many copies, three levels deep."""
-    p = table(spark, sf_dir, "part")
-    path = F.concat("p_type", F.lit("/k"), F.col("p_size") % 4, F.lit("/f"), F.expr("(p_partkey div 2) % 2"))
-    keyed = p.select(F.col("p_brand").alias("hostname"), F.concat(F.lit("v"), F.col("p_partkey") % 2).alias("volume"), path.alias("path_norm"), "p_partkey", F.split("p_name", " ")[1].alias("content"))
-    one = keyed.groupBy("hostname", "volume", "path_norm").agg(F.max_by("content", "p_partkey").alias("content"))
-    return one.select("hostname", "volume", "path_norm", F.col("path_norm").alias("path"), F.length("content").cast("long").alias("size"), F.sha2("content", BITS).alias("sha512"))
-
-
+def part_trees(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
+    """Directory trees with many copies, four levels deep; each part is a file of its own.
+
+    A hundred parts are one directory on five hosts with two volumes each, in most of which the
+    same files have the same content.  Parts of size 48 and more have no digest; those of size 49
+    have sizes of their own.  later: the catalog some time on, when files of parts of size 7 have
+    another content and those of size 8 are gone.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", (F.col("p_partkey") % 100).alias("r"), F.expr("p_partkey div 100").alias("g"))
+    p = p.withColumns({"s": F.expr("(r div 10) % 5"), "f": F.expr("r div 50")})
+    path = F.concat(F.lit("t"), F.col("g") % 4, F.lit("/g"), "g", F.lit("/s"), "s", F.lit("/f"), "f")
+    content = F.when(F.col("p_size") % 10 == 0, F.col("p_name")).otherwise(F.concat(F.lit("part "), F.expr("(g * 10 + s * 2 + f) div 3")))
+    if later:
+        p = p.filter("p_size <> 8")
+        content = F.when(F.col("p_size") == 7, F.concat(F.lit("new "), "p_partkey")).otherwise(content)
+    volume = F.concat(F.when(F.col("r") % 5 == 4, "x").otherwise("v"), F.expr("(r div 5) % 2"))
+    own = p.select(F.concat(F.lit("Brand#"), 11 + F.col("r") % 5).alias("hostname"), volume.alias("volume"), path.alias("path_norm"), path.alias("path"), "p_partkey", "p_size", content.alias("content"))
+    return own.select(
+        "hostname", "volume", "path_norm", "path", (F.length("content") + F.when(F.col("p_size") == 49, F.col("p_partkey") * 1000).otherwise(0)).cast("long").alias("size"),
+        F.when(F.col("p_size") < 48, F.sha2("content", BITS)).alias("sha512"),
+    )
