@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkivist.operators.common import forget, written
+from arkivist.operators.common import filesystem, forget, written
 from arkivist.ship import ship
 
-__all__ = ["fold_crc", "forget", "session", "table", "texts_of", "written"]
+__all__ = ["apart", "fold_crc", "forget", "hashed_side", "session", "table", "texts_of", "written"]
 
 #: Rows of an Arrow batch; with the slices of textvec this bounds a Python worker.
 BATCH_ROWS = 1000
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches of bounded size."""
+    """The frame's session, with Arrow batches of bounded size.  The setting stays: frames are
+    evaluated after the operator has returned."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -33,6 +34,25 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if have[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))])
 
 
+def apart(col: str):
+    """The same number by another name: what was aggregated by it is dealt out anew, in an
+    exchange whose hot partitions can be split."""
+    return F.bitwise_not(F.bitwise_not(F.col(col)))
+
+
+#: A written table may be the built side of a hash join up to so many bytes (on disk) a partition.
+HASHED_BYTES = 8 << 20
+
+
+def hashed_side(frame: DataFrame) -> DataFrame:
+    """A written table, hinted as the built side of a shuffled hash join if its size, which is looked
+    up, is small for a task; otherwise as it is, for a join that can spill."""
+    spark = frame.sparkSession
+    fs, where = filesystem(spark, frame._arkivist_path)
+    per_task = fs.getContentSummary(where).getLength() / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return frame.hint("shuffle_hash") if per_task <= HASHED_BYTES else frame
+
+
 def fold_crc(column: str, mod: int):
     """crc32 of an id's decimal text, modulo mod."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(mod))

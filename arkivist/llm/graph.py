@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkivist.llm.base import written
+from arkivist.llm.base import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(m)
         a, b = m.select(F.col("id").alias("a"), F.col("to").alias("x")), m.select(F.col("id").alias("b"), F.col("to").alias("y"))
         c = e.join(a, "a").join(b, "b").filter("x != y")
-        e = written(c.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, e = e, written(c.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        forget(before)
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     label = maps[0]
@@ -33,6 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = m.select(F.col("id").alias("to"), F.col("to").alias("next"))
         label = label.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
     label = written(label, "labels")
+    for m in maps:
+        forget(m)
+    forget(e)
     least = label.groupBy("to").agg(F.min("id").alias("component"))
     again = least.select(F.bitwise_not(F.bitwise_not(F.col("to"))).alias("to"), "component")
     return label.join(again, "to").select("id", "component")

@@ -43,3 +43,40 @@ def test_prefixes():
     w = tv.Words(pa.array(["abcd abce ab"]))
     p = w.prefixes(3)
     assert p[0] == p[1] != 0 and p[2] == 0 and np.all(w.prefixes(4)[:2] != p[:2])
+
+
+def thue_morse(levels, a="a", b="b"):
+    """Two texts that no polynomial hash with an odd base, modulo a power of two, can tell apart."""
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_are_told_apart():
+    for levels in (3, 8, 10, 12):
+        w = tv.Words(pa.array([" ".join(thue_morse(levels))]))
+        assert w.hash[0] != w.hash[1]
+    x, y = thue_morse(10, "a ", "b ")
+    w = tv.Words(pa.array([x + y]))
+    assert len(set(tv.Runs(w.hash).of(np.array([0, 1024]), 1024).tolist())) == 2
+
+
+def test_runs_of_any_length():
+    w = tv.Words(pa.array(["a b c a b c d a b c a b c d a b"]))
+    r = tv.Runs(w.hash, 1)
+    start, size = np.meshgrid(np.arange(8), np.arange(1, 9))
+    got = r.of(start.ravel(), size.ravel())
+    text = "a b c a b c d a b c a b c d a b".split()
+    by = {}
+    for s, n, h in zip(start.ravel().tolist(), size.ravel().tolist(), got.tolist()):
+        assert by.setdefault(h, tuple(text[s : s + n])) == tuple(text[s : s + n])
+    assert len(by) == len({tuple(text[s : s + n]) for s in range(8) for n in range(1, 9)})
+
+
+def test_blocks_within_a_text(monkeypatch):
+    text = "ab  c\nd " * 30 + "x" * 50 + " é日本 " * 9
+    whole = tv.Words(pa.array([text, None, "z", text]))
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(tv, "BLOCK_BYTES", size)
+        w = tv.Words(pa.array([text, None, "z", text]))
+        assert all((getattr(w, k) == getattr(whole, k)).all() for k in ("start", "end", "hash", "row"))
