@@ -1,11 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-The benchmark's runs of ``MIN_MATCH`` words are hashed (rolling Karp-Rabin hashes) and sent
-to the documents in blocks of bounded size.  A document's runs that meet them are seeds;
-seeds in a line are maximal matches.  The longest match is marked as a tile, what it overlaps
-is cut down to the unmarked rest, and so on until no match of MIN_MATCH words is left: the
-order of the passages in the document does not matter.  An item counts as leaked when tiles
-cover at least ``COVERAGE`` of its words.
+The runs of ``MIN_MATCH`` words of items and documents are hashed (running Karp-Rabin hashes) and
+joined in Spark.  An item counts as leaked when tiles cover at least ``COVERAGE`` of its words.
+Of an item those runs are left out of the join that most items share, as long as they cover less
+than that together: no document can leak the item by them alone.  So a phrase that thousands of items
+share makes no candidates, and no leak is lost.
+
+Documents and items that met are tiled.  Seeds in a line are maximal matches.  The longest match
+is marked as a tile, what it overlaps is cut down to the unmarked rest, and so on until no match of
+MIN_MATCH words is left: the order of the passages in the document does not matter.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session, texts_of
+from arkivist.llm.base import apart, session, texts_of, written
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Bytes of benchmark text of a block.
-BLOCK_BYTES = 8 << 20
+#: Bits of hashes by which the documents' runs are sifted before they are shuffled.
 FILTER_BITS = 22
+#: Sets of items that a worker keeps ready.
+KEPT_SEEDS = 256
 
 
 class Seeds:
-    """Runs of words of a block of items: sorted hashes, and where each occurs."""
+    """Runs of words of some items: sorted hashes, and where each occurs."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int):
         w = tv.Words(pa.array(texts, pa.string()), tv.NOT_ALNUM, lower=True)
@@ -37,22 +41,18 @@ class Seeds:
         row = tv.row_of(w.row)
         # items shorter than k are looked for as a whole
         for size in sorted({min(k, n) for n in self.words.tolist() if n}):
-            at, g = w.grams(size)
+            at, g = tv.rolling(w.hash, w.row, size)
             fit = self.words[row[at]] >= k if size == k else self.words[row[at]] == size
             at, g = at[fit], g[fit]
             order = np.argsort(g, kind="stable")
             keys, first = np.unique(g[order], return_index=True)
-            maybe = np.zeros(1 << FILTER_BITS, bool)
-            maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.by[size] = (keys, np.append(first, len(g)), row[at[order]], at[order] - w.row[row[at[order]]], maybe)
+            self.by[size] = (keys, np.append(first, len(g)), row[at[order]], at[order] - w.row[row[at[order]]])
 
     def meet(self, w: tv.Words):
         """(row, item, place in the row, place in the item, size) of all seeds of a slice."""
         out = []
-        for size, (keys, bound, item, place, maybe) in self.by.items():
-            at, g = w.grams(size)
-            hit = np.flatnonzero(maybe[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            at, g = at[hit], g[hit]
+        for size, (keys, bound, item, place) in self.by.items():
+            at, g = tv.rolling(w.hash, w.row, size)
             if not len(g) or not len(keys):
                 continue
             k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
@@ -132,15 +132,99 @@ def leaks(texts: pa.Array, seeds: Seeds, coverage: float) -> list[tuple]:
 OUT = "doc_id long, item_id long, item_words long, matched long, n_tiles long, coverage double, tiles array<struct<item: long, doc: long, words: long>>"
 
 
-def _blocks(benchmark: DataFrame):
-    """(ids, texts) of the benchmark, in blocks of about BLOCK_BYTES."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    for i in range(n):
-        rows = sorted(own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().collect())
-        if rows:
-            yield [r.item_id for r in rows], [r.text for r in rows]
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_text and iid, which tells apart items that share an id."""
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).filter("item_id is not null and item_text is not null")
+    return own.distinct().withColumn("iid", F.xxhash64("item_text"))
+
+
+def _item_runs(items: DataFrame, k: int, coverage: float) -> DataFrame:
+    """size, g, item_id, iid: of each item the runs that are to be joined."""
+
+    def make(batches):
+        for part in tv.slices(batches, "item_text"):
+            w = tv.Words(part.column(1), tv.NOT_ALNUM, lower=True)
+            words = w.counts()
+            row = tv.row_of(w.row)
+            for size in sorted({min(k, n) for n in words.tolist() if n}):  # items shorter than k are looked for as a whole
+                at, g = tv.rolling(w.hash, w.row, size)
+                fit = words[row[at]] >= k if size == k else words[row[at]] == size
+                at, g = at[fit], g[fit]
+                r = row[at]
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size, np.int32)), pa.array(g.view(np.int64)), part.column(0).take(take), part.column(2).take(take), pa.array(at - w.row[r]), pa.array(words[r])],
+                    ["size", "g", "item_id", "iid", "place", "words"],
+                )
+
+    def choose(t: pa.Table) -> pa.Table:
+        """Runs of one item: the commonest ones that cover too little are left out."""
+        size, words = t.column("size")[0].as_py(), t.column("words")[0].as_py()
+        place, df = t.column("place").to_numpy(), t.column("df").to_numpy()
+        covered, keep = np.zeros(words, bool), np.ones(t.num_rows, bool)
+        for i in np.lexsort((place, -df)).tolist():
+            span = covered[place[i] : place[i] + size]
+            if covered.sum() + size - span.sum() < coverage * words:
+                span[:] = True
+                keep[i] = False
+        return t.filter(pa.array(keep)).select(["size", "g", "item_id", "iid"])
+
+    runs = items.select("item_id", "item_text", "iid").mapInArrow(make, "size int, g long, item_id long, iid long, place long, words long")
+    df = runs.groupBy("size", "g").agg(F.count("*").alias("df")).select("size", apart("g").alias("g"), "df")
+    own = runs.join(df, ["size", "g"]).groupBy("item_id", "iid").applyInArrow(choose, "size int, g long, item_id long, iid long")  # the runs of one item
+    return own.distinct()
+
+
+def _candidates(text: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> DataFrame:
+    """tid (of a text) and items (structs of item_id and item_text): a row for each text that may hold a leak."""
+    spark = text.sparkSession
+    items = _items(benchmark)
+    runs = written(_item_runs(items, k, coverage), "item-runs")
+    # 2 ** FILTER_BITS numbers of each size at most
+    some = runs.select("size", F.shiftrightunsigned("g", 64 - FILTER_BITS).cast("int").alias("bits")).distinct().toArrow()
+    sieve: dict[int, np.ndarray] = {}
+    for size in np.unique(some["size"].to_numpy()).tolist():
+        sieve[size] = np.zeros(1 << FILTER_BITS, bool)
+        sieve[size][some["bits"].to_numpy()[some["size"].to_numpy() == size]] = True
+    shared = spark.sparkContext.broadcast(sieve)
+
+    def sift(batches):
+        for part in tv.slices(batches):
+            w = tv.Words(part.column(0), tv.NOT_ALNUM, lower=True)
+            row = tv.row_of(w.row)
+            for size, maybe in shared.value.items():
+                at, g = tv.rolling(w.hash, w.row, size)
+                hit = np.flatnonzero(maybe[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                if not len(hit):
+                    continue
+                both = np.unique(np.stack([row[at[hit]].astype(np.uint64), g[hit]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), size, np.int32)), pa.array(both[:, 1].view(np.int64)), part.column(1).take(pa.array(both[:, 0].astype(np.int64)))], ["size", "g", "tid"])
+
+    seeds = text.filter(F.col("text").isNotNull()).select("text", "tid").mapInArrow(sift, "size int, g long, tid long")
+    pairs = seeds.join(runs, ["size", "g"]).select("tid", "item_id", "iid").distinct()
+    own = pairs.select(apart("tid").alias("tid"), "item_id", "iid").join(items, ["item_id", "iid"])
+    return written(own.groupBy("tid").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "candidates")
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> DataFrame:
+    """doc_id, text, tid and items of the texts that may hold a leak."""
+    text = texts_of(docs).withColumn("tid", F.xxhash64("text"))
+    return text.join(_candidates(text, benchmark, k, coverage), "tid").select("doc_id", "text", "tid", "items")
+
+
+def _tiler(k: int):
+    """Leaks of one text and its items; sets of items are laid out once."""
+    kept: dict[tuple, Seeds] = {}
+
+    def of(text: pa.Array, items: list[dict], coverage: float) -> list[tuple]:
+        key = tuple(sorted((x["item_id"], x["item_text"]) for x in items))
+        if key not in kept:
+            if len(kept) >= KEPT_SEEDS:
+                kept.clear()
+            kept[key] = Seeds([i for i, _ in key], [t for _, t in key], k)
+        return leaks(text, kept[key], coverage)
+
+    return of
 
 
 def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
@@ -153,43 +237,30 @@ def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cove
     documents repeat their rows; items that share an id are items of their own.  Empty
     tables give no rows.
     """
-    spark = session(docs)
-    text = texts_of(docs)
-    out = None
-    for ids, texts in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Seeds(ids, texts, min_match))  # BLOCK_BYTES of text
-
-        def find(batches, shared=shared):
-            for part in tv.slices(batches):
-                out = leaks(part.column(1), shared.value, coverage)
+    session(docs)
+
+    def find(batches):
+        tiled = _tiler(min_match)
+        kind = pa.list_(pa.struct([("item", pa.int64()), ("doc", pa.int64()), ("words", pa.int64())]))
+        for b in batches:
+            for r in range(b.num_rows):
+                out = tiled(b.column(1).slice(r, 1), b.column(3)[r].as_py(), coverage)
                 if out:
                     c = list(zip(*out, strict=True))
-                    kind = pa.list_(pa.struct([("item", pa.int64()), ("doc", pa.int64()), ("words", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.array(c[0]))), *(pa.array(x, pa.int64()) for x in c[1:5]), pa.array(c[5], pa.float64()), pa.array(c[6], kind)],
-                        ["doc_id", "item_id", "item_words", "matched", "n_tiles", "coverage", "tiles"],
-                    )
-
-        one = text.mapInArrow(find, OUT)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], OUT)
-
-
-def leaked_column(spark, benchmark: DataFrame, text="text", min_match: int = MIN_MATCH, coverage: float = COVERAGE):
-    """Whether any item leaked into a text column, for use on frames of any columns."""
-    def of(shared):
-        @F.arrow_udf("boolean")
-        def own(column: pa.Array) -> pa.Array:
-            hit = [np.zeros(0, bool)]
-            for part in tv.slices([pa.RecordBatch.from_arrays([column], ["text"])]):
-                rows = np.zeros(part.num_rows, bool)
-                rows[[x[0] for x in leaks(part.column(0), shared.value, coverage)]] = True
-                hit.append(rows)
-            return pa.array(np.concatenate(hit))
-
-        return own(F.col(text).cast("string"))
-
-    out = F.lit(False)
-    for ids, texts in _blocks(benchmark):
-        out = out | of(spark.sparkContext.broadcast(Seeds(ids, texts, min_match)))  # BLOCK_BYTES of text
-    return out
+                    ids = b.column(0).take(pa.array([r] * len(out)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in c[1:5]), pa.array(c[5], pa.float64()), pa.array(c[6], kind)], ["doc_id", "item_id", "item_words", "matched", "n_tiles", "coverage", "tiles"])
+
+    return _met(docs, benchmark, min_match, coverage).mapInArrow(find, OUT)
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """tid, the xxhash64 of each text that holds a leak: a written table."""
+    session(docs)
+
+    def find(batches):
+        tiled = _tiler(min_match)
+        for b in batches:
+            hit = [r for r in range(b.num_rows) if tiled(b.column(1).slice(r, 1), b.column(3)[r].as_py(), coverage)]
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(hit, pa.int64()))], ["tid"])
+
+    return written(_met(docs, benchmark, min_match, coverage).mapInArrow(find, "tid long").distinct(), "leaks")
