@@ -18,7 +18,7 @@ OP9 = f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS
     a AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l),
     b AS (SELECT *, len(regexp_extract_all(line, {_WORDS})) AS n FROM a),
     c AS (SELECT doc_id, line, i, n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM b WHERE n > 0),
-    e AS (SELECT x.doc_id, x.pos, min(y.pos) AS z FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.pos >= x.pos AND y.upto - x.upto + x.n >= 20 GROUP BY ALL),
+    e AS (SELECT x.doc_id, x.pos, y.pos AS z FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.pos >= x.pos AND y.upto - x.upto + x.n >= 20),
     d AS (SELECT doc_id, list(line ORDER BY pos) AS ls FROM c GROUP BY doc_id),
     k AS (SELECT e.doc_id, pos, z, md5(array_to_string(ls[pos + 1 : z + 1], chr(10))) AS k FROM e JOIN d USING (doc_id)),
     late AS (SELECT doc_id, pos, z FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS o FROM k) WHERE o > 1),
