@@ -8,8 +8,10 @@
    takes the largest length that fits until none does; then its smallest piece gives way to
    the two remaining lengths that fill the widened gap best, if they fill it better.  A
    pattern is repeated while the counts last, which is the same as packing bin after bin.
-3. Pieces of a length are numbered by partition-wise counts, and the number finds the
-   pattern, bin and offset by binary search in the pattern table.
+3. Pieces are sorted by length in range partitions, which cut a frequent length like any other
+   run; a piece's number among those of its length is its place in the partition plus what the
+   partitions before have of the length.  The number finds the pattern, bin and offset by binary
+   search in the pattern table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arkivist.llm import textvec as tv
 from arkivist.llm.base import session, texts_of, written
@@ -30,7 +31,6 @@ CACHE_WORDS = 1_500_000
 LEARN_AT_ONCE = 2048
 #: Slices with longer words than this are tokenised text by text.
 MOST_WORD_BYTES = 20_000
-SALTS = 64
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -230,35 +230,37 @@ def best_two_fit(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """Packs all documents into sequences of at most capacity ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (in ids).  Null or
-    empty text: one piece that is the end id alone.  Longer documents than capacity are cut
+    empty text: one piece that is the end id alone.  Rows without an id are packed like any
+    other, and their pieces have none.  Longer documents than capacity are cut
     every capacity ids.  Repeated rows are packed one by one; an empty table gives no rows.
     """
     session(docs)
-    made = written(pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))), "pieces")
-    return place(made, capacity)
+    return place(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
 
 
 def place(made: DataFrame, capacity: int) -> DataFrame:
-    # At most capacity lengths times SALTS rows.
-    groups = made.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
+    order = ["length", "doc_id", "piece", "ids_crc32"]
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = made.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
+    # A partition holds successive lengths: capacity lengths and as many partitions are the most rows.
+    groups = placed.groupBy("length", F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
     counts: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
     for g in sorted(groups):
-        base[g.length, g.salt] = counts.get(g.length, 0)
+        base[g.length, g.part] = counts.get(g.length, 0) - g.first
         counts[g.length] = counts.get(g.length, 0) + g.n
     table = pattern_table(two_fit_patterns(counts, capacity))
-    ranked = made.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    shared = made.sparkSession.sparkContext.broadcast((table, base))  # bounded by capacity and SALTS
+    shared = made.sparkSession.sparkContext.broadcast((table, base))  # bounded by capacity and the number of partitions
 
     def assign(batches):
         table, base = shared.value
         for b in batches:
-            length, salt = b.column("length").to_numpy(), b.column("salt").to_numpy()
-            number = b.column("rank").to_numpy().astype(np.int64) - 1
+            length, at = b.column("length").to_numpy(), b.column("at").to_numpy()
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for k in np.unique(length).tolist():
                 own = np.flatnonzero(length == k)
-                n = number[own] + np.fromiter((base[k, s] for s in salt[own].tolist()), np.int64, len(own))
+                n = at[own] + np.fromiter((base[k, p] for p in (at[own] >> 33).tolist()), np.int64, len(own))
                 t = table[k]
                 hit = t[np.searchsorted(t[:, 0], n, "right") - 1]
                 inner = n - hit[:, 0]
@@ -267,4 +269,4 @@ def place(made: DataFrame, capacity: int) -> DataFrame:
             keep = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, PIECE + ", sequence_id long, offset long")
+    return placed.mapInArrow(assign, PIECE + ", sequence_id long, offset long")
