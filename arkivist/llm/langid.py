@@ -4,6 +4,7 @@ Words get a score for every learned language from a naive-Bayes model over byte
 The script of a word (told from the lead bytes of its UTF-8 form) narrows the candidates to
 the languages that were seen in that script.  A Viterbi path over the words, with a penalty
 for switching, labels spans; the document's language is the one with most letters in them.
+Letters are code points that Unicode calls so, whatever bytes they take.
 
 The path is found for all texts of a slice at once: blocks of words advance in step, each
 as a max-plus matrix from entering to leaving states; the blocks are then chained.
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arkivist.llm import textvec as tv
 from arkivist.llm.base import fold_crc, session, texts_of
@@ -73,6 +75,24 @@ def scripts(w: tv.Words) -> np.ndarray:
     return np.maximum(np.maximum.reduceat(s, cut)[::2], 1)
 
 
+def letter_counts(w: tv.Words) -> np.ndarray:
+    """The letters of each word: ASCII ones, and of the other code points those that are alphabetic."""
+    buf = w.buf
+    is_letter = ~_LETTERLESS[buf] & (buf < 128)
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        b0, b1, b2, b3 = (padded[lead + k].astype(np.uint32) for k in range(4))
+        two, three = ((b0 & 0x1F) << 6) | (b1 & 0x3F), ((b0 & 0x0F) << 12) | ((b1 & 0x3F) << 6) | (b2 & 0x3F)
+        four = ((b0 & 0x07) << 18) | ((b1 & 0x3F) << 12) | ((b2 & 0x3F) << 6) | (b3 & 0x3F)
+        code = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))
+        seen, back = np.unique(code, return_inverse=True)
+        is_letter[lead] = np.fromiter((chr(c).isalpha() for c in seen.tolist()), bool, len(seen))[back]
+    total = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(is_letter, out=total[1:])
+    return total[w.end] - total[w.start]
+
+
 class Model:
     """Log-probabilities of trigrams by language, and the scripts each language is written in."""
 
@@ -147,16 +167,25 @@ def train(docs: DataFrame, trains) -> Model | None:
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trains)
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     short = F.length("text") <= SAMPLE_CHARS
-    most = {r.lang: SAMPLE_DOCS if r.short else LONG_DOCS for r in own.groupBy("lang").agg(F.max(short).alias("short")).collect()}  # as many as there are languages
-    langs = sorted(most)
+    sizes = own.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.count("*").alias("n")).collect()  # as many as there are languages
+    langs = sorted(r.lang for r in sizes)
     if not langs:
         return None
-    own = own.filter(short | F.col("lang").isin([x for x in langs if most[x] == LONG_DOCS]))
-    ids = None
-    for x in langs:
-        one = own.filter(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[x])
-        ids = one if ids is None else ids.unionByName(one)
-    chosen = own.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
+    # Of each language somewhat more documents than wanted pass a bar for a hash of the id; the least hashes of these are taken.
+    bars, only_long = {}, []
+    for r in sizes:
+        most, have = (SAMPLE_DOCS, r.short) if r.short else (LONG_DOCS, r.n)
+        bars[r.lang] = min(1.0, 2.0 * (most + 20) / have)
+        if not r.short:
+            only_long.append(r.lang)
+    allowed = short | F.col("lang").isin(only_long) if only_long else short
+    bar = F.coalesce(*[F.when(F.col("lang") == x, F.lit(v)) for x, v in bars.items()])
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = own.filter(allowed & (draw < bar)).select("lang", "doc_id", draw.alias("draw")).distinct()
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")  # about twice the sample of each language
+    limit = F.when(F.col("lang").isin(only_long), LONG_DOCS).otherwise(SAMPLE_DOCS) if only_long else F.lit(SAMPLE_DOCS)
+    ids = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("doc_id", "lang")
+    chosen = own.filter(allowed & (draw < bar)).join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # bounded by the sample
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -182,8 +211,8 @@ def train(docs: DataFrame, trains) -> Model | None:
 def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (byte start, byte end, language).
 
-    score is the share of letter bytes in spans of the language.  Null texts and texts
-    without a letter: 'und', score 0, no spans.  Every row is labelled, repeated ones alike;
+    score is the share of the text's letters that are in spans of the language; ties go to the
+    first language by name.  Null texts and texts without a letter: 'und', score 0.  Every row is labelled, repeated ones alike;
     an empty table gives no rows.  Only doc_id and text are read.
     """
     spark = session(docs)
@@ -201,15 +230,10 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
                 fresh[w.row[:-1][counts > 0]] = True
                 path = viterbi(m.word_scores(w), fresh, switch)
                 k = len(m.langs)
-                letters = np.bincount(row * k + path, w.end - w.start, n * k).reshape(n, k)
+                letters = np.bincount(row * k + path, letter_counts(w), n * k).reshape(n, k)
                 best, all_ = letters.argmax(axis=1), letters.sum(axis=1)
                 top = np.where(all_ > 0, letters[np.arange(n), best] / np.maximum(all_, 1), 0)
                 pred = [m.langs[b] if a else "und" for a, b in zip(all_, best, strict=True)]
-                ascii_ = np.zeros(len(w.buf) + 1, np.int64)
-                np.cumsum(~_LETTERLESS[w.buf] & (w.buf < 128), out=ascii_[1:])
-                for r in np.flatnonzero((ascii_[w.off[1:]] == ascii_[w.off[:-1]]) & (all_ > 0)):  # other signs only: letters among them?
-                    if not any(map(str.isalpha, part.column(1)[int(r)].as_py())):
-                        pred[r], top[r] = "und", 0.0
                 edge = fresh.copy()
                 edge[1:] |= path[1:] != path[:-1]
                 a = np.flatnonzero(edge)
@@ -226,7 +250,13 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
 
 
 def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, spans.  Documents with crc32(doc_id) mod folds = held are not learned from."""
+    """doc_id, held_out, lang_pred, score, spans.  Documents with crc32(doc_id) mod folds = held are not learned from.
+
+    Rows without an id: held_out is null, nothing is learned from them, they are labelled like any
+    other.  Rows without a language or a text are not learned from.  Without any learned row, and
+    for null texts and texts without a letter: 'und'.  Repeated rows give repeated results; an
+    empty table gives no rows.
+    """
     session(docs)
     model = train(docs, fold_crc("doc_id", folds) != held)
     return label(docs, model).select("doc_id", (fold_crc("doc_id", folds) == held).alias("held_out"), "lang_pred", "score", "spans")
