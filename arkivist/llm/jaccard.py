@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session, texts_of, written
+from arkivist.llm.base import apart, forget, hashed_side, session, texts_of, written
 from arkivist.llm.graph import components
 
 U64 = np.uint64
@@ -40,6 +40,9 @@ CHUNK_SHINGLES = 1 << 20
 #: Runs up to this long are compared together with others.
 SHORT = 16
 COLUMNS = 8192
+#: Bits of the widest bitmap.  It goes along with each prefix shingle, so the work of a long text stays in
+#: proportion to its length; beyond some ten thousand shingles it holds back less, and loses no pair either.
+WIDEST = 13
 
 
 def prefix_size(n, threshold):
@@ -66,8 +69,8 @@ def shingle_sets(w: tv.Words, k: int) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the shingles by their low bits: about one bit for a shingle, 64 at least."""
-    bits = 1 << max(6, int(len(s) * 3 // 4).bit_length())
+    """Parities of the shingles by their low bits: about one bit for a shingle, 64 at least and 2 ** WIDEST at most."""
+    bits = 1 << min(WIDEST, max(6, int(len(s) * 3 // 4).bit_length()))
     odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -96,7 +99,9 @@ def frequent(docs: DataFrame, k: int, threshold) -> np.ndarray:
         if total > MOST_FREQUENT:
             break
         least = 1 << p
-    return np.sort(many.filter(F.col("df") >= least).select("token").toArrow()["token"].to_numpy().view(U64)) if sizes else np.zeros(0, U64)
+    out = np.sort(many.filter(F.col("df") >= least).select("token").toArrow()["token"].to_numpy().view(U64)) if sizes else np.zeros(0, U64)
+    forget(many)
+    return out
 
 
 PROFILE = "doc_id long, n long, s1 long, s2 long, prefix array<long>, bits binary"
@@ -316,11 +321,6 @@ def links(rows: DataFrame, threshold) -> DataFrame:
     return rows.mapInArrow(find, EDGES)
 
 
-def _apart(col: str):
-    """The same value by another name, so that a later join deals it out anew and can split hot keys."""
-    return F.bitwise_not(F.bitwise_not(F.col(col)))
-
-
 def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     """rep, cluster, chunks, c, shingles of the documents named by (rep, cluster, chunks, c)."""
 
@@ -329,13 +329,13 @@ def whole_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(tv.Words(part.column(0), lower=True), k)
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in range(1, 5)), _longs(sets)], ["rep", "cluster", "chunks", "c", "shingles"])
 
-    own = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == named["rep"]).select("text", "rep", "cluster", "chunks", "c")
+    own = docs.join(hashed_side(named), docs["doc_id"] == named["rep"]).select("text", "rep", "cluster", "chunks", "c")
     return own.mapInArrow(make, "rep long, cluster long, chunks long, c long, shingles array<long>")
 
 
 def _chunked(members: DataFrame, key: str, size) -> DataFrame:
     """members with chunks (by the key's size) and their own chunk c, a hash of rep."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("k"), size.alias("chunks")).filter("k > 1").select(_apart(key).alias(key), "chunks")
+    sizes = members.groupBy(key).agg(F.count("*").alias("k"), size.alias("chunks")).filter("k > 1").select(apart(key).alias(key), "chunks")
     return members.join(sizes, key).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
 
 
@@ -356,14 +356,16 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int,
     classes = written(classes, "classes")
     posts = classes.select(F.explode("prefix").alias("token"), "rep")
     shared = written(_chunked(posts, "token", F.ceil(F.count("*") / F.lit(CHUNK))).select("token", "rep", "chunks", "c"), "postings")
-    facing = shared.join(classes.select("rep", "n", "bits").hint("shuffle_hash"), "rep")
+    facing = shared.join(hashed_side(classes).select("rep", "n", "bits"), "rep")
     near = passing(_blocked(facing, "token"), threshold)
     cluster = components(near).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     cluster = written(cluster.join(classes.select("rep", "n"), "rep"), "clusters")
     chunks = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK)), F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)))
-    blocks = _chunked(cluster, "cluster", chunks).select("rep", "cluster", "chunks", "c")
-    found = links(_blocked(whole_sets(named, blocks.distinct(), k), "cluster"), threshold)
+    blocks = written(_chunked(cluster, "cluster", chunks).select("rep", "cluster", "chunks", "c").distinct(), "blocks")
+    found = links(_blocked(whole_sets(named, blocks, k), "cluster"), threshold)
     linked = components(found).select(F.col("id").alias("rep"), "component")
+    for table in (shared, cluster, blocks):
+        forget(table)
     member = own.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
     member = member.join(linked, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     # one id may stand for several rows: its smallest component, for all of them
