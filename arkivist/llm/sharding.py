@@ -1,7 +1,8 @@
 """Hilbert-curve sharding.
 
-Metadata (document id, size, source, language) is quantised to a few bits a dimension;
-rows are sorted by the index of their cell on the Hilbert curve, and the sorted order is
+Metadata (document id, size, source, language) is quantised to a few bits a dimension, at
+the quantiles of its values, so that cells are in the order of the values (names by their first
+bytes) and about equally full; rows are sorted by the index of their cell on the Hilbert curve, and the sorted order is
 cut into runs.  Neighbouring cells share most coordinates, so each run covers a compact
 box in every dimension and a reader that filters on any of them skips whole files.
 
@@ -13,6 +14,9 @@ partition (its row count), never from a window over all rows.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,38 +69,44 @@ def _curve(bits: int):
     return index
 
 
+def _name_key(column):
+    """A number that grows with a name's order: its first seven bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def quantile_cells(frame: DataFrame, columns: list[str], bits: int) -> list:
+    """For each number column an expression of its cell: how many of the cuts at its quantiles are below it; null is cell 0."""
+    side = 1 << bits
+    shares = [i / side for i in range(1, side)]
+    cuts = frame.agg(*[F.percentile_approx(c, shares, 20 * side).alias(c) for c in columns]).first()  # side numbers a column
+
+    def cell(c: str):
+        own = [int(x) for x in (cuts[c] or [])] if cuts else []
+        below = [F.when(F.col(c) > x, 1).otherwise(0) for x in sorted(own)]
+        return F.when(F.col(c).isNull(), 0).otherwise(reduce(operator.add, below, F.lit(0))).cast("int").alias(c)
+
+    return [cell(c) for c in columns]
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     """Shards of near-equal row counts along the curve.
 
     Returns doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and
-    curve (the index).  Counts of any two shards differ by one at most.  Null text: size 1
-    and the checksum of the empty string.  A null id, source, language or length takes
-    coordinate 0.  Ties on the curve go by id, then checksum; repeated rows are rows of
-    their own.  An empty table gives no rows.
+    curve (the index).  Counts of any two shards differ by one at most.  Equal texts are not
+    kept together: the order is the curve's alone.  Null text: size 1 and the checksum of the
+    empty string.  A null id, source or language, and a source or language column that is
+    missing, takes coordinate 0.  Ties on the curve go by id, then checksum; repeated rows are
+    rows of their own.  An empty table gives no rows.
     """
     session(docs)
-    side = 1 << bits
     has = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = [(F.col(c).cast("string") if c in has else F.lit(None).cast("string")) for c in ("source", "lang")]
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        *[(F.col(c).cast("string") if c in has else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")],
-    )
-    span = docs.select(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi")).first()
-    lo, hi = (span.lo, span.hi) if span and span.lo is not None else (0, 0)
-    width = float(hi) - float(lo) + 1.0
-
-    def name(c):
-        return F.coalesce(F.pmod(F.crc32(F.col(c)), F.lit(side)), F.lit(0)).cast("int")
-
-    point = base.select(
-        "doc_id", "size", "text_crc32",
-        F.least(F.lit(side - 1), F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width) * side), F.lit(0))).cast("int").alias("x0"),
-        F.least(F.lit(side - 1), F.floor(F.log2(F.col("size").cast("double")) * 2)).cast("int").alias("x1"),
-        name("source").alias("x2"), name("lang").alias("x3"),
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),
+        *[_name_key(x).alias(c) for c, x in zip(("x2", "x3"), names, strict=True)],
+    ).withColumns({"x0": F.col("doc_id"), "x1": F.col("size")})
+    point = base.select("doc_id", "size", "text_crc32", *quantile_cells(base, ["x0", "x1", "x2", "x3"], bits))
     keyed = point.select("doc_id", "size", "text_crc32", _curve(bits)("x0", "x1", "x2", "x3").alias("curve"))
     order = ["curve", "doc_id", "text_crc32"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
