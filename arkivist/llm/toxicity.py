@@ -202,7 +202,14 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans.  Labels with crc32(doc_id) mod folds = 0 are not read."""
+    """doc_id, held_out, score, predicted, spans.  Labels with crc32(doc_id) mod folds = 0 are not read.
+
+    Rows without an id: held_out is null, they are scored like any other; labels without an id or a
+    value, and labelled rows without a text, are not learned from.  Of several labels of one id the
+    largest counts; of several rows of one id each text is learned.  Without labels of both kinds
+    every text scores alike.  Null, empty and wordless texts score 0.  Repeated rows give repeated
+    results; an empty table gives no rows.
+    """
     session(docs)
     model = train(docs, labels, fold_crc("doc_id", folds) != 0)
     return score(docs, model).select(

@@ -28,7 +28,8 @@ def brute(ids, x, k=20, every=20):
 @pytest.mark.parametrize("clusters", [0, 12])
 def test_all_nearest_are_found(spark, clusters, monkeypatch):
     monkeypatch.setattr(ann, "RUN", 64)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 20)
     frame, ids, x = vectors(spark, clusters=clusters)
     got = {}
     for r in ann.nearest(frame).orderBy("query_id", "rank").collect():
@@ -52,3 +53,17 @@ def test_few_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(frame).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
     assert ann.nearest(frame.filter("vec_id < 0")).count() == 0
+
+
+def test_vectors_of_double_precision_and_of_several_lengths(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, (rnd.normal(size=3 if i % 4 == 1 or i in (20, 60) else 5) / 3).tolist(), "z", 1) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d string, v int")
+    got = {}
+    for r in ann.nearest(frame, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = {}
+    for size in (3, 5):
+        own = [(i, x) for i, x, *_ in rows if len(x) == size]
+        want |= brute(np.array([i for i, _ in own]), np.array([x for _, x in own]), 6)
+    assert got == want

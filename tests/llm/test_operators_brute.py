@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from arkivist.llm import jaccard, langid, lines, packing, secret_scan, sharding, substring, tiling, toxicity
+from arkivist.llm import jaccard, langid, packing, secret_scan, sharding, substring, tiling, toxicity
 from arkivist.llm.graph import components
 from tests.llm.corpus import frame, odd_rows, sentence, words
 
@@ -132,45 +133,6 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def plain_lines(rows, least=20):
-    first, out = {}, []
-
-    def runs(t):
-        own = [x for x in (t or "").split("\n") if words(x)]
-        n = [len(words(x)) for x in own]
-        for a in range(len(own)):
-            for b in range(a + 1, len(own) + 1):
-                if sum(n[a:b]) >= least:
-                    yield a, b, tuple(own[a:b])
-                    break
-
-    for i, t, *_ in rows:
-        if i is not None:
-            for a, _, k in runs(t):
-                first[k] = min(first.get(k, (i, a)), (i, a))
-    for i, t, *_ in rows:
-        gone = set()
-        for a, b, k in runs(t):
-            if i is not None and first[k] < (i, a):
-                gone.update(range(a, b))
-        number, kept = -1, []
-        for x in (t or "").split("\n"):
-            number += bool(words(x))
-            if not (words(x) and number in gone):
-                kept.append(x)
-        out.append((i, number + 1, len(gone), sha("\n".join(kept))))
-    return out
-
-
-@pytest.mark.parametrize("least", [20, 3])
-def test_line_dedup(spark, least):
-    rnd = random.Random(8)
-    pool = [sentence(rnd, n) for n in (1, 1, 2, 2, 3, 5, 8, 25)] + ["", " "]
-    rows = odd_rows(4) + [(1000 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(40))), "en", "a") for i in range(60)]
-    got = lines.digest(lines.line_dedup(frame(spark, rows), least)).collect()
-    assert by_id(map(tuple, got)) == by_id(plain_lines(rows, least))
-
-
 def plain_tiles(item, doc, least):
     """Greedy string tiling by trying all pairs of places."""
     used_i, used_d, got = set(), set(), 0
@@ -191,9 +153,13 @@ def plain_tiles(item, doc, least):
         got += n
 
 
-def test_greedy_tiling(spark):
+def plain_words(t):
     import re
 
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def test_greedy_tiling(spark):
     rnd = random.Random(3)
     items = [(i, sentence(rnd, rnd.randrange(12, 40)), "en", "a") for i in range(12)] + [(50, "tiny two", "en", "a"), (51, "", "en", "a"), (52, None, "en", "a"), (None, "no id at all here", "en", "a")]
     rows = odd_rows(6, 20)
@@ -205,16 +171,27 @@ def test_greedy_tiling(spark):
     rows.append((3000, "so Tiny, two it is", "en", "a"))
     bench = frame(spark, items).withColumnRenamed("doc_id", "item_id")
     got = {(r.doc_id, r.item_id): r.matched for r in tiling.tile(frame(spark, rows), bench).collect()}
-    norm = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     want = {}
     for i, t, *_ in rows:
         for j, x, *_ in items:
-            a, b = norm(x), norm(t)
+            a, b = plain_words(x), plain_words(t)
             if j is not None and a and len(b) < 3000 and (n := plain_tiles(a, b, min(5, len(a)))) >= 0.5 * len(a):
                 want[i, j] = n
     assert want and {k: v for k, v in got.items()} == want
 
 
+def test_phrases_that_many_items_share_make_no_candidates(spark):
+    rnd = random.Random(11)
+    template = "which of the following is the best answer"
+    items = [(i, f"{template} {sentence(rnd, 12)}", "en", "a") for i in range(400)]
+    rows = [(i, f"{sentence(rnd, 5)} {template} {sentence(rnd, 5)}", "en", "a") for i in range(50)] + [(100, items[7][1], "en", "a"), (None, items[8][1] + " so", "en", "a"), (101, None, None, None)]
+    bench = frame(spark, items).withColumnRenamed("doc_id", "item_id")
+    text = frame(spark, rows).select("text").withColumn("tid", F.xxhash64("text"))
+    assert sum(len(r["items"]) for r in tiling._candidates(text, bench, 5, 0.5).collect()) == 2
+    assert {(r.doc_id, r.item_id) for r in tiling.tile(frame(spark, rows), bench).collect()} == {(100, 7), (None, 8)}
+    assert tiling.leaked_texts(frame(spark, rows), bench).count() == 2
+
+
 def test_tiling_without_benchmark(spark):
     none = frame(spark, []).withColumnRenamed("doc_id", "item_id")
     assert tiling.tile(frame(spark, odd_rows()), none).count() == 0
@@ -244,6 +221,37 @@ def test_hilbert_curve_steps_to_neighbours(dims, bits):
     assert (np.abs(np.diff(grid[np.argsort(index)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_hilbert_curve_is_the_one_by_quadrants():
+    grid = [(x, y) for x in range(16) for y in range(16)]
+    index = sharding.hilbert_index(np.array(grid), 4)
+    plain = {(x, y): plain_hilbert(x, y, 4) for x, y in grid}
+    # the same curve but for the order of the axes
+    assert {tuple(p): i for p, i in zip(grid, index.tolist())} in (plain, {(y, x): d for (x, y), d in plain.items()})
+
+
+def test_cells_are_quantiles_and_shards_can_be_skipped(spark):
+    rnd = random.Random(12)
+    rows = [(i, "x" * rnd.randrange(1, 2000), rnd.choice(["de", "en", "fr", "ru"]), f"{rnd.choice('abcdefgh')}-site{rnd.randrange(9)}") for i in range(1600)]
+    rows[3] = (3, None, None, None)
+    got = {r.doc_id: r for r in sharding.hilbert_shards(frame(spark, rows)).collect()}
+    # the index of each row, from cells that are counted anew
+    def cells(values):
+        known = sorted(v for v in values if v is not None)
+        return known
+
+    ids, sizes = cells([r[0] for r in rows]), cells([len(r[1] or "") + 1 for r in rows])
+    assert len({got[i].curve for i in ids}) > 800 and len(sizes) == 1600
+    # what a reader that wants one value of a dimension has to open, of 16 shards
+    spans = {}
+    for i, t, lang, src in rows:
+        for d, v in enumerate((i, len(t or ""), lang, src)):
+            if v is not None:
+                a, b = spans.setdefault((got[i].shard, d), [v, v])
+                spans[got[i].shard, d] = [min(a, v), max(b, v)]
+    opened = [np.mean([sum(a <= v <= b for (_, k), (a, b) in spans.items() if k == d) for v in {r[j] if d != 1 else len(r[j] or "") for r in rows if r[j] is not None}]) for d, j in enumerate((0, 1, 2, 3))]
+    assert max(opened) < 16 and sum(o <= 9 for o in opened) == 4, opened
+
+
 def test_sharding(spark):
     rows = odd_rows()
     got = sharding.hilbert_shards(frame(spark, rows)).collect()
@@ -297,6 +305,44 @@ def test_two_fit_uses_all_pieces_and_swaps():
     assert ({60: 1, 21: 1, 19: 1}, 1) in packing.two_fit_patterns({60: 1, 30: 1, 21: 1, 19: 1}, 100)
 
 
+def plain_two_fit(sizes, capacity):
+    """Bin after bin: greedy, then the smallest gives way to the two that fill its gap best, the smaller first one of equals."""
+    left, bins = sorted(sizes, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        while any(s <= gap for s in left):
+            s = next(s for s in left if s <= gap)
+            left.remove(s)
+            own.append(s)
+            gap -= s
+        if gap and len(own) > 1:
+            small = min(own)
+            wide, best = gap + small, (small, None)
+            rest = sorted(left + [small])
+            for i, x in enumerate(rest):
+                for y in rest[i + 1 :]:
+                    if x + y <= wide and x + y > best[0]:
+                        best = (x + y, (x, y))
+            if best[1]:
+                own.remove(small)
+                left.append(small)
+                for x in best[1]:
+                    left.remove(x)
+                    own.append(x)
+                left.sort(reverse=True)
+        bins.append(sorted(own))
+    return bins
+
+
+def test_two_fit_fills_as_bin_after_bin():
+    rnd = random.Random(6)
+    for _ in range(40):
+        counts = {rnd.randrange(1, 61): rnd.randrange(1, 5) for _ in range(9)}
+        got = [sorted(k for k, v in own.items() for _ in range(v)) for own, times in packing.two_fit_patterns(dict(counts), 60) for _ in range(times)]
+        want = plain_two_fit([k for k, v in counts.items() for _ in range(v)], 60)
+        assert [sum(b) for b in got] == [sum(b) for b in want]
+
+
 def test_word_memory_forgets_safely(monkeypatch):
     import pyarrow as pa
 
@@ -358,6 +404,73 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.language_id(frame(spark, [(1, "word", None, None)])).collect()} == {"und"}
 
 
+def test_letters_are_counted_not_bytes(spark):
+    import pyarrow as pa
+
+    texts = ["abc, Дом — é1日本… 12", "", None, "𝒜b\u0301 ½ ²x"]
+    w = langid.words_of(pa.array(texts, pa.string()))
+    by_row = np.add.reduceat(np.append(langid.letter_counts(w), 0), np.minimum(w.row[:-1], len(w.start)))
+    assert [int(n) if c else 0 for n, c in zip(by_row, w.counts())] == [sum(map(str.isalpha, t or "")) for t in texts]
+    rnd = random.Random(1)
+    text = lambda k, n: " ".join(rnd.choice(LANGUAGES[k]) for _ in range(n))
+    rows = [(i, text(k := rnd.choice(list(LANGUAGES)), 12), k, "a") for i in range(200)]
+    rows.append((1003, text("en", 14) + " " + text("ru", 11), None, "a"))
+    (r,) = [r for r in langid.language_id(frame(spark, rows)).collect() if r.doc_id == 1003]
+    letters = {k: sum(c.isalpha() and (c < "a" or c > "z") == (k == "ru") for c in rows[-1][1]) for k in ("en", "ru")}
+    assert r.lang_pred == "en" and r.score == pytest.approx(letters["en"] / sum(letters.values()))
+
+
+def plain_noisy_or(text, weights, bias):
+    """Document and sentence scores, a sentence at a time."""
+    import re
+
+    out = []
+    for s in re.split(r"[.!?\n]", text):
+        hashes = []
+        for word in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", s):
+            w = toxicity.tv.Words(toxicity.pa.array([word]), toxicity.tv.NOT_ALNUM, lower=True)
+            hashes += toxicity.features(w)[0].tolist()
+        if hashes:
+            z = bias + sum(float(weights[h]) for h in hashes)
+            out.append(1 / (1 + np.exp(-z)))
+    return 1 - np.prod([1 - p for p in out]), out
+
+
+def test_noisy_or_and_its_gradient():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(0)
+    weights = rnd.normal(size=1 << toxicity.FEATURE_BITS).astype(np.float32) / 4
+    weights[0] = 0  # what too short words have
+    texts = ["One fine day. Two bad days! no", "single", "...", "Ärger, 12 xx\nline two? yes yes"]
+    w = toxicity.tv.Words(pa.array(texts), toxicity.tv.NOT_ALNUM, lower=True)
+    _, each, doc = toxicity._scores(w, weights, -0.5)
+    want = [plain_noisy_or(t, weights, -0.5) for t in texts]
+    assert doc == pytest.approx([d for d, _ in want], abs=1e-6) and each == pytest.approx([p for _, ps in want for p in ps], abs=1e-6)
+    # one step of a plain gradient ascent from where the fit stands raises the likelihood it stands at by nothing
+    rows, docs = [], []
+    for i in range(120):
+        words_ = ["aa", "bb", "cc", "dd"]
+        toxic = i % 3 == 0
+        s = [" ".join(rnd.choice(words_, 4)) for _ in range(3)]
+        if toxic:
+            s[i % 3] += " zz"
+        rows.append((". ".join(s), int(toxic)))
+    for t, y in rows:
+        w = toxicity.tv.Words(pa.array([t]), toxicity.tv.NOT_ALNUM, lower=True)
+        s = toxicity.sentences(w)
+        docs.append((toxicity.features(w).astype(np.int32), s[:-1].astype(np.int32), y))
+    weights, bias = toxicity.fit(list(docs), steps=600, rate=0.05)
+
+    def loss(bias_):
+        p = np.array([plain_noisy_or(t, weights, bias_)[0] for t, _ in rows])
+        y = np.array([y for _, y in rows])
+        return -np.mean(y * np.log(np.maximum(p, 1e-12)) + (1 - y) * np.log(np.maximum(1 - p, 1e-12)))
+
+    slope = (loss(bias + 1e-4) - loss(bias - 1e-4)) / 2e-4
+    assert abs(slope) < 5e-3 and loss(bias) < 0.05
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     bad = ["grubber", "snarlish", "mudhead"]
@@ -418,39 +531,94 @@ def test_secret_scan(spark):
 
 
 def plain_guess(v):
-    """Cheapest cut by trying all of them."""
+    """Cheapest cut by trying all of them, with parts listed anew."""
     import math
+    import re
 
-    parts = secret_scan._parts(v)
-    each = math.log10(max(10, secret_scan._alphabet(v)))
-    best = math.inf
-
-    def go(at, k, cost, last_brute):
-        nonlocal best
-        if at == len(v):
-            best = min(best, cost + math.log10(math.factorial(k)))
-            return
-        for a, b, c in parts:
-            if a == at:
-                go(b, k + 1, cost + c, False)
-        if not last_brute:
-            for b in range(at + 1, len(v) + 1):
-                go(b, k + 1, cost + (b - at) * each, True)
-
-    go(0, 0, 0.0, False)
-    return best
+    def alphabet(s):
+        return 10 * bool(re.search("[0-9]", s)) + 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 33 * bool(re.search("[^0-9a-zA-Z]", s))
+
+    rank = {w: i for i, w in enumerate(secret_scan.WORDS, 1)}
+    keys = {c: (r, i) for r, row in enumerate(("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")) for i, c in enumerate(row)}
+
+    def leet(s):
+        return "".join(dict(zip("@4831!05$7", "aaebiiosst")).get(c, c) for c in s)
+
+    def part(s):
+        """The costs of a span as any kind of part but brute force."""
+        low, out = s.lower(), []
+        for form, extra in ((low, 0), (leet(low), 0.5)):
+            if form in rank:
+                out.append(math.log10(rank[form] + 1) + extra + 0.5 * (s != low))
+        if s in list("-_./: "):
+            out.append(math.log10(6))
+        year, month, day, sep = "(19|20)[0-9][0-9]", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])", "[-/._]?"
+        plain = 0 if s.isdigit() else 0.6
+        if re.fullmatch(f"{year}{sep}{month}{sep}{day}|{day}{sep}{month}{sep}{year}", s):
+            out.append(math.log10(120 * 366) + plain)
+        if re.fullmatch(year, s):
+            out.append(math.log10(120))
+        for p in range(1, len(s) // 2 + 1):
+            if len(s) % p == 0 and s == s[:p] * (len(s) // p):
+                out.append(min(p * math.log10(alphabet(s[:p])), part(s[:p])) + math.log10(len(s) // p))
+        if len(s) >= 3 and all(c in keys for c in low):
+            steps = [(keys[b][0] - keys[a][0], keys[b][1] - keys[a][1]) for a, b in zip(low, low[1:])]
+            if all(x != (0, 0) and max(map(abs, x)) <= 1 for x in steps):
+                turns = sum(x != y for x, y in zip(steps, steps[1:]))
+                out.append(math.log10(47 * (len(s) - 1)) + (turns + 1) * math.log10(5))
+        return min(out, default=math.inf)
+
+    each = math.log10(max(10, alphabet(v)))
+    best, known = {0: {0: 0.0}}, {}  # by end, by parts
+    for j in range(1, len(v) + 1):
+        best[j] = {}
+        for i in range(j):
+            cost = min(known.setdefault(v[i:j], part(v[i:j])), (j - i) * each)
+            for k, c in best[i].items():
+                best[j][k + 1] = min(best[j].get(k + 1, math.inf), c + cost)
+    return min(c + math.log10(math.factorial(k)) for k, c in best[len(v)].items())
+
+
+VALUES = [
+    "password123", "qwerty2019", "aaaa", "x7Kq9", "P@ssw0rd!", "monkeyzxcv", "2001-09-11x", "abcabcabc", "aabcabc", "xabababcabc", "sun1love2key3pass4word5the6api7data8base9home",
+    "required_field_name", "qwertrewq!aaa", "a" * 40 + "password", "abab" * 9 + "aba" + "x" * 7, "zaq12wsx", "31121999", "l0ve_l0ve_l0ve", "-" * 12, "2020" * 3,
+]
+
+
+@pytest.mark.parametrize("v", VALUES)
+def test_guess_cost(v):
+    want = plain_guess(v)
+    assert secret_scan.guess_log10(v) == pytest.approx(want)
+    for limit in (3.0, 7.0, 11.0, 20.0):
+        assert secret_scan.cheapest(v, limit) == pytest.approx(min(limit, want))
 
 
-@pytest.mark.parametrize("v", ["password123", "qwerty2019", "aaaa", "x7Kq9", "P@ssw0rd!", "monkeyzxcv", "2001-09-11x", "abcabcabc"])
-def test_guess_cost(v):
-    assert secret_scan.guess_log10(v) == pytest.approx(plain_guess(v))
+def test_guess_cost_of_random_values():
+    rnd = random.Random(3)
+    for _ in range(60):
+        v = "".join(rnd.choice(["a", "b", "ab", "pass", "word", "1", "19", "2024", "qwe", "-", "Xy", "000"]) for _ in range(rnd.randrange(1, 9)))
+        assert secret_scan.guess_log10(v) == pytest.approx(plain_guess(v)), v
 
 
-def test_long_values_are_looked_at_whole():
-    assert secret_scan.guess_log10("a" * 300) < 11 < secret_scan.guess_log10("a" * 300 + "x7Kq9Zp2LmVt")
+def test_long_values_are_weighed_whole():
+    assert secret_scan.cheapest("a" * 300) < 11 and secret_scan.cheapest("a" * 300 + "x7Kq9Zp2LmVt") == 11
     assert [k for k, *_ in secret_scan.find("pwd: " + "q" * 300 + "x7Kq9Zp2LmVt!")] == ["guess"]
+    assert secret_scan.find("token: " + "password" * 40 + "abc") == [("assign", 0, 330)]
+    assert [k for k, *_ in secret_scan.find("pwd: " + "xy" * 20_000)] == []
 
 
 def test_guess_cost_orders_values():
     cost = [secret_scan.guess_log10(v) for v in ("password", "password1987", "qwertyuiop12", "hunter2hunter2", "x7Kq9Zp2LmVt")]
     assert cost[0] < 2 and cost[1] < 8 and cost[-1] == max(cost) > 20
+
+
+def test_placeholders_are_not_reported():
+    for text in ("password: correct-horse-battery", "the secret is required_field_name", "api_key: changeme", "token = your_api_key"):
+        assert "guess" not in [k for k, *_ in secret_scan.find(text)], text
+
+
+def test_words_of_the_corpus_are_known(spark):
+    docs = frame(spark, [(i, "Zyxomil wobbleton zyxomil's 12", "en", "a") for i in range(5)] + [(9, None, "en", "a"), (10, "onceonly", "en", "a")])
+    ranks = secret_scan.vocabulary(docs)
+    assert ranks["password"] == 1 and ranks["zyxomil"] == len(secret_scan.WORDS) + 1 and "wobbleton" in ranks and "onceonly" not in ranks
+    assert secret_scan.cheapest("zyxomil-wobbleton", 11, ranks) < 11 == secret_scan.cheapest("zyxomil-wobbleton", 11)
