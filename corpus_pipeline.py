@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arkivist.llm import jaccard, lines, packing, tiling, toxicity
-from arkivist.llm.base import fold_crc, session, table, written
+from arkivist.llm.base import fold_crc, hashed_side, session, table, written
 from arkivist.llm.queries import TOKENIZER
 
-#: Names beside those of the documents' own columns.
-ID, ROW = "__stage_doc_id", "__stage_row"
+#: A name beside those of the documents' own columns.
+ID = "__stage_doc_id"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,28 +31,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of whole repeated line runs, and documents of which nothing else was left.  n_chars follows the text."""
-    made = lines.line_dedup(docs, whole=True).filter("n_removed > 0").select(F.col("doc_id").alias(ID), F.xxhash64("text").alias(ROW), F.col("kept").alias("__stage_text"))
-    made = made.dropDuplicates([ID, ROW])
-    match = (docs["doc_id"].cast("long") == made[ID]) & (F.xxhash64(docs["text"].cast("string")) == made[ROW])
-    out = docs.join(made, match, "left").filter(F.col("__stage_text").isNull() | F.col("__stage_text").rlike("\\S"))
+    made = lines.line_dedup(docs, carry=True).filter("n_removed = 0 or kept rlike '\\\\S'")
+    changed = F.col("n_removed") > 0
     columns = []
     for c in docs.columns:
-        new = {"text": F.col("__stage_text"), "n_chars": F.length("__stage_text").cast("long")}.get(c)
-        columns.append(docs[c] if new is None else F.when(F.col("__stage_text").isNotNull(), new.cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
-    return out.select(*columns)
+        old = F.col("text").cast(docs.schema[c].dataType) if c == "text" else F.col("row")[c]
+        new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}.get(c)
+        columns.append((old if new is None else F.when(changed, new.cast(docs.schema[c].dataType)).otherwise(old)).alias(c))
+    return made.select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component of five-word Jaccard links of 0.8 or more."""
     found = jaccard.jaccard_components(docs, k=5, threshold=(80, 100)).filter("doc_id != component_id")
-    copies = found.select(F.col("doc_id").alias(ID)).distinct().hint("shuffle_hash")
+    copies = hashed_side(written(found.select(F.col("doc_id").alias(ID)).distinct(), "copies"))
     return docs.join(copies, docs["doc_id"].cast("long") == copies[ID], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold at least half of a benchmark item."""
-    session(docs)
-    return docs.filter(~tiling.leaked_column(spark, table(spark, sf_dir, "benchmark")))
+    leaks = tiling.leaked_texts(docs, table(spark, sf_dir, "benchmark")).select(F.col("tid").alias(ID))
+    return docs.join(leaks, F.xxhash64(docs["text"].cast("string")) == leaks[ID], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
