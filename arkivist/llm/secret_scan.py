@@ -8,7 +8,8 @@ it does is asked, so the program follows all cuts that cost less, and no others:
 alone then bound the number of parts, and costs the length of brute-force spans.
 
 Known words are a fixed list and, after it, the words of the corpus itself by their counts over
-all documents, the ``VOCABULARY`` most frequent ones.
+all documents: all that occur as often as some power of two, the least of which there are no more
+than ``VOCABULARY`` words.
 
 After a sign, "is" or "was" every value is weighed; after a blank alone only values with a digit,
 a sign or an inner capital, as any plain word of a sentence can follow there.  A value that is not
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.llm import textvec as tv
-from arkivist.llm.base import session, texts_of
+from arkivist.llm.base import forget, session, texts_of, written
 
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns.
@@ -45,7 +46,7 @@ CONTEXT = re.compile(
 )
 _NEEDLES = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"accesskey", b"access_key", b"access-key", b"credential", b"bearer", b"auth")
 MIN_LOG10 = 11.0
-#: So many of the corpus's words are known; a number, for the table goes to every task.
+#: So many of the corpus's words are known at most, for the table goes through the driver to every task.
 VOCABULARY = 50_000
 LETTERS = (3, 24)
 
@@ -212,8 +213,16 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
             words = [raw[a:b].decode("ascii") for a, b in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], ["word", "n"])
 
-    counts = texts_of(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()  # a top-k
+    counts = written(texts_of(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    power = F.floor(F.log2("n"))
+    total, least = 0, 1 << 62
+    for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("k")).orderBy(F.desc("p")).collect():  # 62 rows at most
+        total += r.k
+        if total > most:
+            break
+        least = 1 << r.p
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()  # most rows at most
+    forget(counts)
     out = dict(_FIXED)
     for r in top:
         out.setdefault(r.word, len(out) + 1)
