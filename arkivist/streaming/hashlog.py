@@ -8,6 +8,8 @@ whole log gives.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from arkivist.operators.common import filesystem, scratch, written
@@ -21,8 +23,9 @@ def read_hashlog(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     """The lines of a log (a file, or a folder of segments) with their places."""
     fs, where = filesystem(spark, path)
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    if fs.exists(where) and fs.getFileStatus(where).isFile():  # a stream watches folders
-        stream, path = stream.option("pathGlobFilter", where.getName()), where.getParent().toString()
+    if fs.exists(where) and fs.getFileStatus(where).isFile():  # a stream watches a folder or a pattern: this one fits the file alone
+        name = re.sub(r"([*?{}\[\]\\])", r"\\\1", where.getName())
+        path = f"{where.getParent()}/{{{name}}}"
     return with_places(stream.text(path))
 
 

@@ -235,8 +235,8 @@ def test_walks_are_shared_out(tmp_path):
     reader = WalkReader({"root": tree(tmp_path / "t", names), "partitions": "4"})
     parts = reader.partitions()
     rows_ = [r for p in parts for r in reader.read(p)]
-    assert sorted(r[0] for r in rows_ if r[4] == "file") == sorted(n for n in names if ".git" not in n and ".DS" not in n)
-    assert sorted(r[0] for r in rows_ if r[4] == "skipped") == ["one/.git", "one/a/.DS_Store"]
+    assert sorted(r[0] for r in rows_ if r[3] == "file") == sorted(n for n in names if ".git" not in n and ".DS" not in n)
+    assert sorted(r[0] for r in rows_ if r[3] == "skipped") == ["one/.git", "one/a/.DS_Store"]
     assert len(parts) == 4 and max(sum(1 for _ in reader.read(p)) for p in parts) < 10
 
 
