@@ -75,15 +75,19 @@ def _name_key(column):
 
 
 def quantile_cells(frame: DataFrame, columns: list[str], bits: int) -> list:
-    """For each number column an expression of its cell: how many of the cuts at its quantiles are below it; null is cell 0."""
+    """For each number column an expression of its cell, by the cuts at its quantiles; null is cell 0.
+
+    A value that holds several cuts takes the middle of them: at their edge, a few rows more or
+    less of another value would move it across the bounds of the curve's larger boxes.
+    """
     side = 1 << bits
     shares = [i / side for i in range(1, side)]
     cuts = frame.agg(*[F.percentile_approx(c, shares, 20 * side).alias(c) for c in columns]).first()  # side numbers a column
 
     def cell(c: str):
         own = [int(x) for x in (cuts[c] or [])] if cuts else []
-        below = [F.when(F.col(c) > x, 1).otherwise(0) for x in sorted(own)]
-        return F.when(F.col(c).isNull(), 0).otherwise(reduce(operator.add, below, F.lit(0))).cast("int").alias(c)
+        twice = [F.when(F.col(c) > x, 2).when(F.col(c) == x, 1).otherwise(0) for x in sorted(own)]
+        return F.when(F.col(c).isNull(), 0).otherwise(F.shiftright(reduce(operator.add, twice, F.lit(0)), 1)).cast("int").alias(c)
 
     return [cell(c) for c in columns]
 
