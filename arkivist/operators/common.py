@@ -36,6 +36,16 @@ def redealt(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.withColumns({k: same(k) for k in keys})
 
 
+def exchanged(frame: DataFrame) -> DataFrame:
+    """The same frame, hinted for a join that exchanges and sorts both sides.
+
+    Spark decides on a broadcast by the size of the files below, which are compressed, and does not count the
+    rows that an explode adds, so a side that grows with the catalog can look small.  The driver collects it
+    whole; and adaptive execution, which learns the real size, keeps to the plan that has fewer exchanges.
+    """
+    return frame.hint("merge")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.  Where it names none, a
     temporary folder does on a local master; anywhere else each executor would write to its own

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkivist.functions.paths import normalize_path
-from arkivist.operators.common import catalog_rows
+from arkivist.operators.common import catalog_rows, exchanged
 from arkivist.schema import CATALOG, CATALOG_COLUMNS, KEY
 
 
@@ -146,7 +146,7 @@ def set_digests(catalog: DataFrame, digests: DataFrame) -> DataFrame:
 
 def delete_rows(catalog: DataFrame, gone: DataFrame) -> DataFrame:
     """The catalog without the keys of gone."""
-    return catalog.join(gone.select(*KEY).distinct(), KEY, "left_anti")
+    return catalog.join(exchanged(gone.select(*KEY).distinct()), KEY, "left_anti")
 
 
 def upsert_volume(volumes: DataFrame, hostname: str, volume: str, mount_point: str | None, os: str | None, now: int) -> DataFrame:

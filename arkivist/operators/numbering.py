@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arkivist.operators.common import written
+from arkivist.operators.common import exchanged, written
 
 #: Groups with more rows than this are numbered through range partitions.
 MOST_ROWS = 1_000_000
@@ -29,5 +29,5 @@ def numbered(frame: DataFrame, group: list[str], order: list[str], name: str, wi
     # a row for each group and partition that has some of it
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = placed.join(runs, [*group, "_part"])
+    out = placed.join(exchanged(runs), [*group, "_part"])
     return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*frame.columns, name)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arkivist.operators import tree
-from arkivist.operators.common import redealt
+from arkivist.operators.common import exchanged, redealt
 from arkivist.schema import KEY
 
 #: Members: sig, kind, size_each, file_count_each, member_idx, hostname, volume, path (and more).
@@ -41,16 +41,16 @@ def plan_deletions(members: DataFrame, rule: str, hostname: str) -> DataFrame:
     which the rule finds no keeper have no row.
     """
     keep = redealt(keepers(members, rule), "sig")
-    j = members.join(keep, "sig")
+    j = members.join(exchanged(keep), "sig")
     kept = j.filter(F.col("member_idx") == F.col("keep_idx")).select("sig", F.struct("hostname", "volume", "path").alias("keep"))
     gone = j.filter((F.col("member_idx") != F.col("keep_idx")) & (F.col("hostname") == hostname)).drop("keep_idx")
-    return gone.join(redealt(kept, "sig"), "sig").select("sig", "kind", "size_each", "file_count_each", "member_idx", "hostname", "volume", "path", "keep")
+    return gone.join(exchanged(redealt(kept, "sig")), "sig").select("sig", "kind", "size_each", "file_count_each", "member_idx", "hostname", "volume", "path", "keep")
 
 
 def group_states(members: DataFrame, rule: str, hostname: str) -> DataFrame:
     """One row for each group: 'no_local', 'skipped' or 'planned'."""
     local = members.groupBy("sig").agg(F.max((F.col("hostname") == hostname).cast("int")).alias("local"))
-    j = local.join(keepers(members, rule), "sig", "left")
+    j = local.join(exchanged(keepers(members, rule)), "sig", "left")
     return j.select("sig", F.when(F.col("local") == 0, "no_local").when(F.col("keep_idx").isNull(), "skipped").otherwise("planned").alias("state"))
 
 
@@ -65,14 +65,14 @@ def _under(rows: DataFrame, tops: DataFrame) -> DataFrame:
 
     prefixes = F.array_append(ancestors("path_norm"), F.col("path_norm"))
     r = rows.withColumn("top", F.explode(F.array_distinct(prefixes)))
-    return r.join(tops, ["hostname", "volume", "top"])
+    return r.join(exchanged(tops), ["hostname", "volume", "top"])
 
 
 def subtree_info(rows: DataFrame, tops: DataFrame) -> DataFrame:
     """Files and bytes below each (hostname, volume, path); 0 where there are none."""
     t = tops.select("hostname", "volume", F.col("path").alias("top")).distinct()
     found = _under(rows.select(*KEY, "size"), t).groupBy("hostname", "volume", "top").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
-    out = t.join(found, ["hostname", "volume", "top"], "left")
+    out = t.join(exchanged(found), ["hostname", "volume", "top"], "left")
     return out.select("hostname", "volume", F.col("top").alias("path"), F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
@@ -93,7 +93,7 @@ def expand_dirs(deletions: DataFrame, rows: DataFrame, same_content: bool = True
         F.struct("hostname", "volume", F.col("top").alias("path")).alias("keep"), relative(F.col("top")).alias("rel"),
         F.col("path_norm").alias("keep_path"), F.col("sha512").alias("keep_sha"),
     )
-    j = gone.join(kept, ["keep", "rel"])
+    j = gone.join(exchanged(kept), ["keep", "rel"])
     if same_content:
         j = j.filter(F.col("sha512") == F.col("keep_sha"))
     return j.select("sig", *KEY, "size", F.col("keep.hostname").alias("keep_hostname"), F.col("keep.volume").alias("keep_volume"), "keep_path", "sha512")
@@ -104,7 +104,7 @@ def deleted_files(deletions: DataFrame, rows: DataFrame) -> DataFrame:
     files = deletions.filter("kind = 'file'").select("hostname", "volume", F.col("path").alias("path_norm"))
     dirs = deletions.filter("kind = 'dir'").select("hostname", "volume", F.col("path").alias("top")).distinct()
     below = _under(rows.select(*KEY), dirs).select(*KEY)
-    return rows.join(files.unionByName(below).distinct(), KEY, "left_semi")
+    return rows.join(exchanged(files.unionByName(below).distinct()), KEY, "left_semi")
 
 
 def survivor_check(deletions: DataFrame, rows: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def survivor_check(deletions: DataFrame, rows: DataFrame) -> DataFrame:
     Files without a digest have no known copy: their row, of a null digest, never survives."""
     gone = deleted_files(deletions, rows).groupBy("sha512").agg(F.count("*").alias("n_deleted"))
     all_ = redealt(rows.groupBy("sha512").agg(F.count("*").alias("n_all")), "sha512")
-    j = gone.join(all_.withColumnRenamed("sha512", "_all"), F.col("sha512").eqNullSafe(F.col("_all")))
+    j = gone.join(exchanged(all_.withColumnRenamed("sha512", "_all")), F.col("sha512").eqNullSafe(F.col("_all")))
     return j.select("sha512", "n_all", "n_deleted", ((F.col("n_all") > F.col("n_deleted")) & F.col("sha512").isNotNull()).alias("survives"))
 
 
@@ -130,7 +130,7 @@ def member_states(members: DataFrame, rows: DataFrame, bits: int = 512) -> DataF
     dirs = signed.select("hostname", "volume", "path", "kind", F.struct("size", "sig", "n_files").alias("now"))
     expected = F.when(F.col("kind") == "dir", F.col("sig")).otherwise(F.concat(F.lit("F:"), F.coalesce("sha512", F.regexp_extract("sig", "^F:(.*)$", 1))))
     same = (F.col("now.size") == F.col("size_each")) & F.coalesce(F.col("now.sig") == expected, F.lit(False))
-    out = members.join(files.unionByName(dirs), ["hostname", "volume", "path", "kind"], "left")
+    out = members.join(exchanged(files.unionByName(dirs)), ["hostname", "volume", "path", "kind"], "left")
     return out.withColumn("state", F.when(F.col("now").isNull(), "missing").when(same, "current").otherwise("changed")).drop("now")
 
 
@@ -139,7 +139,7 @@ def kept_files(deletions: DataFrame, rows: DataFrame) -> DataFrame:
     keys = ["hostname", "volume", "path_norm"]
     single = deletions.filter("kind = 'file'").select(F.col("keep.hostname").alias("hostname"), F.col("keep.volume").alias("volume"), F.col("keep.path").alias("path_norm"))
     below = expand_dirs(deletions, rows).select(F.col("keep_hostname").alias("hostname"), F.col("keep_volume").alias("volume"), F.col("keep_path").alias("path_norm"))
-    return rows.join(single.unionByName(below).distinct(), keys, "left_semi")
+    return rows.join(exchanged(single.unionByName(below).distinct()), keys, "left_semi")
 
 
 def plan_totals(deletions: DataFrame, rows: DataFrame) -> DataFrame:

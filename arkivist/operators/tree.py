@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arkivist.functions.paths import ancestors, basename, depth, key_str, order_key, parent, parts
 from arkivist.operators.collisions import size_histogram
-from arkivist.operators.common import redealt, written
+from arkivist.operators.common import exchanged, redealt, written
 from arkivist.operators.numbering import numbered
 from arkivist.ship import ship
 
@@ -28,7 +28,7 @@ def file_nodes(rows: DataFrame) -> DataFrame:
     sizes = redealt(size_histogram(rows).filter("n > 1").select("size"), "size").withColumn("collides", F.lit(True))
     # Only rows without a digest need their size looked up.
     known = rows.filter(sha.isNotNull()).withColumn("sig", F.concat(F.lit("F:"), sha))
-    rest = rows.filter(sha.isNull()).join(sizes, "size", "left")
+    rest = rows.filter(sha.isNull()).join(exchanged(sizes), "size", "left")
     rest = rest.withColumn("sig", F.concat(F.when(F.col("collides"), "X:").otherwise("U:"), own)).drop("collides")
     both = known.unionByName(rest)
     return both.select(
@@ -112,7 +112,7 @@ def dir_nodes(files: DataFrame, bits: int = 512, most_children: int = MOST_CHILD
     """All directories as nodes, from file nodes."""
     totals = dir_totals(files.select(*VOLUME, F.col("path").alias("path_norm"), "size"))
     signed = dir_signatures(files, bits, most_children)
-    out = signed.join(totals, [*VOLUME, "path"])
+    out = signed.join(exchanged(totals), [*VOLUME, "path"])
     return out.select(
         *VOLUME, "path", F.lit("dir").alias("kind"), "sig", "size", "n_files", order_key("path", True).alias("order_key"),
         F.lit(None).cast("string").alias("sha512"), F.lit(None).cast("string").alias("orig_path"),
@@ -162,20 +162,20 @@ def coverage(all_nodes: DataFrame, min_size: int = 0) -> tuple[DataFrame, DataFr
     all_nodes = written(all_nodes, "nodes")
     groups = written(ranked_groups(duplicate_groups(all_nodes, min_size)), "groups")
     facts = groups.select("sig", "rank", F.col("size").alias("size_each"), F.col("n_files").alias("file_count_each"), F.col("kind").alias("group_kind"), "copies")
-    members = written(all_nodes.join(facts, "sig"), "members")
+    members = written(all_nodes.join(exchanged(facts), "sig"), "members")
     place = [*VOLUME, "path"]
     above = members.filter("kind = 'dir'").select(*VOLUME, F.col("path").alias("above"), F.col("rank").alias("above_rank"))
     under = members.select(*place, "kind", "rank", F.explode(ancestors("path")).alias("above"))
-    hit = under.join(above, [*VOLUME, "above"]).filter("above_rank < rank").select(*place, "kind").distinct().withColumn("covered", F.lit(True))
-    members = members.join(hit, [*place, "kind"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    hit = under.join(exchanged(above), [*VOLUME, "above"]).filter("above_rank < rank").select(*place, "kind").distinct().withColumn("covered", F.lit(True))
+    members = members.join(exchanged(hit), [*place, "kind"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     state = members.groupBy("sig").agg((~F.bool_and("covered")).alias("reported"))
-    return members, groups.join(state, "sig")
+    return members, groups.join(exchanged(state), "sig")
 
 
 def coverage_report(all_nodes: DataFrame, min_size: int = 0) -> DataFrame:
     """The members of reported groups, numbered in the order of a walk (1: the one to keep)."""
     members, groups = coverage(all_nodes, min_size)
-    shown = members.join(redealt(groups.filter("reported").select("sig"), "sig"), "sig", "left_semi")
+    shown = members.join(exchanged(redealt(groups.filter("reported").select("sig"), "sig")), "sig", "left_semi")
     widest = groups.agg(F.max("copies")).first()[0] or 0
     return numbered(shown, ["sig"], PLACE, "member_idx", widest).select(
         "sig", F.col("group_kind").alias("kind"), "size_each", "file_count_each", "rank", "copies", "member_idx", *VOLUME, "path",
