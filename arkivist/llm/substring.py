@@ -213,7 +213,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, text, tid) and their covered word spans (doc_id, tid, spans as start << 32 | end)."""
     named = _texts(docs)
-    marks = written(repeated(named, window), "marks")
+    marks = written(repeated(named, window), "marks", clean=True)
     some = F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 0)
     joined = named.join(hashed_side(marks).filter(some), ["doc_id", "tid"]).select("doc_id", "text", "tid", "marks")
     win = windows(joined, window)
@@ -264,7 +264,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     """
     session(docs)
     named, spans = removals(docs, window)
-    full = named.join(hashed_side(written(spans, "spans")), ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
+    full = named.join(hashed_side(written(spans, "spans", clean=True)), ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
     rest = texts_of(docs).filter(F.col("doc_id").isNull())
     full = full.unionByName(rest.withColumn("spans", F.lit(None).cast("array<long>")))
 

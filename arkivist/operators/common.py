@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,11 +88,28 @@ def _remove_rest() -> None:
 atexit.register(_remove_rest)
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: its lineage ends there."""
+#: Spark's setting by which a query takes its shuffle files with it when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Queries that begin inside it remove their shuffle files when they end; else these stay until the driver
+    happens to collect its garbage, and the disk holds those of several stages."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def written(frame: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """The frame written to the shared folder and read again: its lineage ends there; with clean, its shuffle files do too."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/arkivist/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with shuffles_end(spark) if clean else nullcontext():
+        frame.write.parquet(path)
     _at_exit.setdefault(spark, set()).add(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._arkivist_path = path
